@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.llm import p1_similar_vectors as p1
 from lexiflow.llm import p2_near_duplicates as p2
 from lexiflow.llm import p3_splitting as p3
 from lexiflow.llm import p6_repeated_lines as p6
@@ -16,6 +17,21 @@ from lexiflow.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: How much farther than the nearest list a list may lie that holds a vector of cosine 0.9.
+MARGIN = 0.2
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p1.most_similar(table(spark, d, "concept_vectors"), "vec_id", "embedding", min_cosine=0.9, margin=MARGIN)
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every vector whose id is divisible by 50, against all, over all lists."""
+    vectors = table(spark, d, "concept_vectors")
+    return p1.most_similar(vectors, "vec_id", "embedding", queries=vectors.where("vec_id % 50 = 0").select("vec_id"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = p2.near_duplicate_pairs(table(spark, d, "news"), "id", "content", order_col="created_at", similarity=0.6, min_words=60)
     return pairs.select(F.col("id_a").alias("news_id_a"), F.col("id_b").alias("news_id_b"))
