@@ -12,6 +12,7 @@ from lexiflow.llm import p2_near_duplicates as p2
 from lexiflow.llm import p3_splitting as p3
 from lexiflow.llm import p6_repeated_lines as p6
 from lexiflow.llm import p8_evaluation_leaks as p8
+from lexiflow.llm import p10_residue as p10
 from lexiflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,5 +75,15 @@ def p8_without_leaks(spark: SparkSession, d: str) -> DataFrame:
     return p8.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10.residue(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "residue")
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: documents with residue, and how many are residue for the better part."""
+    found = p10.residue(table(spark, d, "documents"), "doc_id", "text")
+    return found.groupBy("residue").agg(F.count("*").alias("documents"), F.count_if(F.col("coverage") >= 0.5).alias("mostly_residue"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit() and "_" in k and callable(v)}
