@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm import p1_similar_vectors as p1
 from lexiflow.llm import p2_near_duplicates as p2
 from lexiflow.llm import p3_splitting as p3
+from lexiflow.llm import p5_truncation as p5
 from lexiflow.llm import p6_repeated_lines as p6
 from lexiflow.llm import p8_evaluation_leaks as p8
 from lexiflow.llm import p10_residue as p10
@@ -54,6 +55,38 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sections.unionByName(contexts)
 
 
+def _news_sources(spark: SparkSession, d: str) -> DataFrame:
+    """(id, source): of each news id its first row's source."""
+    return table(spark, d, "news").where("id is not null").groupBy("id").agg(F.min_by("source", "created_at").alias("source"))
+
+
+def _judged_analyses(spark: SparkSession, d: str) -> DataFrame:
+    analyses = table(spark, d, "analysis").join(_news_sources(spark, d).withColumnRenamed("id", "news_id"), "news_id", "left")
+    return p5.truncation(analyses, "news_id", "analysis", "source")
+
+
+def _judged_runs(spark: SparkSession, d: str) -> DataFrame:
+    return p5.truncation(table(spark, d, "parameter_results"), "run_id", "response", "model_name", limit_col="max_tokens")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    analyses = _judged_analyses(spark, d).where("truncated").select(F.lit("analysis").alias("record_kind"), F.col("id").alias("record_id"))
+    runs = _judged_runs(spark, d).where("truncated").select(F.lit("run").alias("record_kind"), F.col("id").cast("string").alias("record_id"))
+    return analyses.unionAll(runs).distinct()
+
+
+def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return p5.truncation_report(_judged_analyses(spark, d))
+
+
+def p5_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Per model and max_tokens: how often its responses are cut."""
+    runs = table(spark, d, "parameter_results").select("run_id", "model_name", "max_tokens").distinct()
+    judged = _judged_runs(spark, d).select(F.col("id").alias("run_id"), "truncated").groupBy("run_id").agg(F.max("truncated").alias("truncated"))
+    shares = runs.join(judged, "run_id").groupBy("model_name", "max_tokens").agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"))
+    return shares.withColumn("share", F.round(F.col("truncated") / F.col("texts"), 6))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = p6.repeated_lines(table(spark, d, "news"), "id", "content", "source")
     return found.select(F.col("id").alias("news_id"), "line_no").distinct()
