@@ -55,9 +55,10 @@ def ending(text: Column) -> Column:
         | last.rlike(r"^(?:#[\p{L}\p{N}_]+[\s,]*)+$")
         | last.rlike(r"(?:^|\s)(?:https?://|www\.)[^\s/]+\.[^\s/]+/\S*$")
         | (lined & last.rlike(r"^\([^()]*\)$"))
-        | (lined & last.rlike(r"^[—–-]\s*\p{Lu}[\p{L}. ]+$"))
+        | (lined & last.rlike(r"^[—–-]\s*\p{Lu}[\p{L} -]+$"))
     )
-    return F.when(dots, "dots").when(stop, "finished").when(structured, "structured").when(text.rlike(UNFINISHED), "abbreviation").otherwise("open")
+    signed = lined & last.rlike(r"^[—–-]\s*\p{Lu}[\p{L}-]+(?: \p{Lu}\.){2}$")
+    return F.when(signed, "finished").when(dots, "dots").when(stop, "finished").when(structured, "structured").when(text.rlike(UNFINISHED), "abbreviation").otherwise("open")
 
 
 def _tokens(text: Column) -> Column:
@@ -117,7 +118,9 @@ def censoring_limits(lengths: DataFrame) -> DataFrame:
 
 
 def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, *, limit_col: str | None = None, vocabulary_from: list[tuple[DataFrame, str]] | None = None) -> DataFrame:
-    """(id, source, text_length, ending, at_limit, posterior, truncated): one row per distinct (id, text, source).
+    """(id, source, text_key, text_length, ending, at_limit, posterior, truncated): one row per distinct (id, text, source).
+
+    ``text_key`` is ``xxhash64`` of the text.
 
     ``source_col`` groups the length distributions (null is a group of its own); ``limit_col`` gives
     a declared limit in words. Texts of ``vocabulary_from`` add to the corpus that knows whole words.
@@ -127,7 +130,7 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, *, li
     limit = col(limit_col).cast("int") if limit_col else F.lit(None).cast("int")
     base = df.select(col(id_col).alias("id"), col(text_col).alias("text"), col(source_col).cast("string").alias("source"), limit.alias("slot")).distinct()
     text = stripped(F.col("text"))
-    rows = spread(base).select("id", "source", "slot", "text", has_words(F.col("text")).alias("some"), F.length("text").alias("chars"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")).alias("words"), text.alias("bare"))
+    rows = spread(base).select("id", "source", "slot", "text", F.xxhash64("text").alias("text_key"), has_words(F.col("text")).alias("some"), F.length("text").alias("chars"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")).alias("words"), text.alias("bare"))
     rows = rows.select("*", F.when(F.col("some"), ending(F.col("bare"))).otherwise("nothing").alias("ending"), F.lower(F.regexp_extract(F.translate("bare", "ёЁ", "еЕ"), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("last"))
 
     some = rows.where("some")
@@ -147,14 +150,14 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, *, li
     n, e = F.coalesce("known", F.lit(0)), F.coalesce("known_ends", F.lit(0))
     # Five uses inside sentences and no end in any of them, or hardly any use at all: no word to end on.
     broken = (n <= 1) | (e < F.col("known") * 0.01) | ((n >= 5) & (e == 0))
-    link = F.col("bare").rlike(r"(?:https?://|www\.)\S+$")
-    full = F.when(F.col("ending") == "dots", F.when(broken, "dots_broken").otherwise("dots")).when((F.col("ending") == "structured") & broken & ~link, "structured_broken").otherwise(F.col("ending"))
+    tagged, link = F.col("bare").rlike(r"#[\p{L}\p{N}_]+[\s,]*$"), F.col("bare").rlike(r"(?:https?://|www\.)\S+$")
+    full = F.when(F.col("ending") == "dots", F.when(broken, "dots_broken").otherwise("dots")).when((F.col("ending") == "structured") & ~link & F.when(tagged, n <= 1).otherwise(broken), "structured_broken").otherwise(F.col("ending"))
     at = F.greatest(F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0)))
     ratio = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v)])
     judged = judged.withColumn("ending", full).withColumn("at_limit", at)
     odds = F.when(F.col("at_limit") > 0, F.greatest(F.col("at_limit") / (1 - F.col("at_limit")), F.lit(BASE_ODDS))).otherwise(F.lit(BASE_ODDS)) * F.try_element_at(ratio, F.col("ending"))
     posterior = F.coalesce(odds / (1 + odds), F.lit(0.0))
-    return judged.select("id", "source", F.col("chars").alias("text_length"), "ending", "at_limit", posterior.alias("posterior"), (posterior > 0.5).alias("truncated"))
+    return judged.select("id", "source", "text_key", F.col("chars").alias("text_length"), "ending", "at_limit", posterior.alias("posterior"), (posterior > 0.5).alias("truncated"))
 
 
 def truncation_report(judged: DataFrame, by: str = "source") -> DataFrame:

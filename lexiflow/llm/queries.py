@@ -12,6 +12,7 @@ from lexiflow.llm import p2_near_duplicates as p2
 from lexiflow.llm import p3_splitting as p3
 from lexiflow.llm import p5_truncation as p5
 from lexiflow.llm import p6_repeated_lines as p6
+from lexiflow.llm import p7_broken_pairs as p7
 from lexiflow.llm import p8_evaluation_leaks as p8
 from lexiflow.llm import p10_residue as p10
 from lexiflow.llm.common import table
@@ -100,6 +101,29 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return p6.without_repeated_lines(table(spark, d, "news"), "id", "content", "source")
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    news = table(spark, d, "news").where("id is not null").groupBy("id").agg(F.min_by(F.struct("title", "content", "source"), "created_at").alias("n"))
+    analyses = table(spark, d, "analysis").select("news_id", "analysis").distinct().join(news, F.col("news_id") == F.col("id")).select("news_id", "analysis", "n.*").withColumn("question", F.concat_ws("\n", "title", "content"))
+    judged = p5.truncation(analyses, "news_id", "analysis", "source").select(F.col("id").alias("news_id"), "text_key", F.col("truncated").alias("cut"), "ending", "at_limit")
+    a = analyses.withColumn("text_key", F.xxhash64("analysis")).join(judged, ["news_id", "text_key"]).select(F.lit("analysis").alias("pair_kind"), F.col("news_id").alias("pair_id"), "question", F.col("analysis").alias("answer"), "cut", "ending", "at_limit")
+    runs = table(spark, d, "parameter_results").select("run_id", "prompt", "response").distinct().withColumn("text_key", F.xxhash64("response"))
+    judged = _judged_runs(spark, d).groupBy("id", "text_key").agg(F.max("truncated").alias("cut"), F.first("ending").alias("ending"), F.max("at_limit").alias("at_limit")).withColumnRenamed("id", "run_id")
+    r = runs.join(judged, ["run_id", "text_key"]).select(F.lit("run").alias("pair_kind"), F.col("run_id").cast("string").alias("pair_id"), F.col("prompt").alias("question"), F.col("response").alias("answer"), "cut", "ending", "at_limit")
+    return a.unionAll(r)
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    return p7.broken_pairs(_pairs(spark, d), table(spark, d, "documents").select("text", "lang"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _broken(spark, d).select("pair_kind", "pair_id", "defect")
+
+
+def p7_defect_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _broken(spark, d).groupBy("pair_kind", "defect").agg(F.count("*").alias("pairs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
 
