@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm import p1_similar_vectors as p1
 from lexiflow.llm import p2_near_duplicates as p2
 from lexiflow.llm import p3_splitting as p3
+from lexiflow.llm import p4_scan_noise as p4
 from lexiflow.llm import p5_truncation as p5
 from lexiflow.llm import p6_repeated_lines as p6
 from lexiflow.llm import p7_broken_pairs as p7
@@ -56,6 +57,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sections.unionByName(contexts)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4.scan_noise(table(spark, d, "sections"), "section_id", "section_text").select(F.col("id").alias("section_id"), "noise")
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return p4.repaired(table(spark, d, "sections"), "section_id", "section_text")
+
+
 def _news_sources(spark: SparkSession, d: str) -> DataFrame:
     """(id, source): of each news id its first row's source."""
     return table(spark, d, "news").where("id is not null").groupBy("id").agg(F.min_by("source", "created_at").alias("source"))
