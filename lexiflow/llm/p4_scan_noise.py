@@ -26,6 +26,8 @@ from lexiflow.llm.common import checkpointed, col, spread
 LOOKALIKES = {"0": "о", "3": "з", "4": "ч", "6": "б", "8": "в", "a": "а", "b": "в", "c": "с", "e": "е", "h": "н", "k": "к", "m": "м", "o": "о", "p": "р", "r": "г", "t": "т", "u": "и", "x": "х", "y": "у", "i": "і"}
 GROUPS = (("/i", "л"), ("iii", "ш"), ("bi", "ы"), ("io", "ю"), ("|", ""), ("\\", ""), ("_", ""))
 CONFUSED = ("оес", "тг", "инплц", "вз", "шщ", "ьъ")
+#: Of these, the pairs that are taken for one another directly.
+PAIRS = "ос ес тг ин нп пл цп вз шщ ьъ".split()
 
 NUMBER_LINE = re.compile(r"^\W{0,3}(?:(?:стр|с|p|page|s|seite|л|лист)\.?\s{0,3})?\W{0,3}\d{1,4}\W{0,3}$", re.I)
 EDGE_NUMBER = re.compile(r"^\W{0,3}\d{1,4}\W{1,40}(?=[^\W\d])|(?<=[\w»”])\W{1,40}\d{1,4}\W{0,3}$")
@@ -172,8 +174,9 @@ def misread_words(parsed: DataFrame, *, ratio: float = 6.0, known_from: int = 4)
     """(word, meant): rare words of the shape of a word at least ``ratio`` times as frequent."""
     words = _vocabulary(parsed).where(F.length("word") >= 5).withColumn("shape", skeleton(F.col("word")))
     good = words.where(F.col("n") >= known_from).select("shape", F.col("word").alias("meant"), F.col("n").alias("known"))
+    swapped = F.forall(F.zip_with(F.split("word", ""), F.split("meant", ""), lambda a, b: (a == b) | F.concat(a, b).isin([*PAIRS, *(p[::-1] for p in PAIRS)])), lambda x: x)
     apart = F.size(F.filter(F.zip_with(F.split("word", ""), F.split("meant", ""), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != x["b"]))
-    pairs = words.join(good, "shape").where((F.col("word") != F.col("meant")) & (F.col("known") >= F.col("n") * ratio)).where(apart <= F.greatest(F.lit(2), F.floor(F.length("word") / 4)))
+    pairs = words.join(good, "shape").where((F.col("word") != F.col("meant")) & (F.col("known") >= F.col("n") * ratio)).where(apart <= F.greatest(F.lit(2), F.floor(F.length("word") / 4))).where(swapped)
     return pairs.groupBy("word").agg(F.max(F.struct("known", "meant")).alias("m")).select("word", F.col("m.meant").alias("meant"))
 
 

@@ -15,6 +15,7 @@ from lexiflow.llm import p5_truncation as p5
 from lexiflow.llm import p6_repeated_lines as p6
 from lexiflow.llm import p7_broken_pairs as p7
 from lexiflow.llm import p8_evaluation_leaks as p8
+from lexiflow.llm import p9_mixing as p9
 from lexiflow.llm import p10_residue as p10
 from lexiflow.llm.common import table
 
@@ -141,6 +142,24 @@ def p8_without_leaks(spark: SparkSession, d: str) -> DataFrame:
     return p8.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
+def _mix(spark: SparkSession, d: str, **how) -> tuple[DataFrame, DataFrame]:
+    return p9.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source", **how)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixture in which every source that has documents holds its target share."""
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p9_shares_full(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture as large as the listed sources' tokens: capped sources run out and the others fill up."""
+    return _mix(spark, d, of_corpus=1.0)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10.residue(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "residue")
 
