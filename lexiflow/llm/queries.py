@@ -172,3 +172,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {k: v for k, v in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit() and "_" in k and callable(v)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
