@@ -54,10 +54,9 @@ def ending(text: Column) -> Column:
         (lined & last.rlike(r"^(?:[•·*–—-]|\d{1,3}[.)])\s+\S.*[\p{L}\p{N}»)]$"))
         | last.rlike(r"^(?:#[\p{L}\p{N}_]+[\s,]*)+$")
         | last.rlike(r"(?:^|\s)(?:https?://|www\.)[^\s/]+\.[^\s/]+/\S*$")
-        | (lined & last.rlike(r"^\([^()]*\)$"))
         | (lined & last.rlike(r"^[—–-]\s*\p{Lu}[\p{L} -]+$"))
     )
-    signed = lined & last.rlike(r"^[—–-]\s*\p{Lu}[\p{L}-]+(?: \p{Lu}\.){2}$")
+    signed = lined & (last.rlike(r"^[—–-]\s*\p{Lu}[\p{L}-]+(?: \p{Lu}\.){2}$") | last.rlike(r"^\([^()]*\)$"))
     return F.when(signed, "finished").when(dots, "dots").when(stop, "finished").when(structured, "structured").when(text.rlike(UNFINISHED), "abbreviation").otherwise("open")
 
 
