@@ -18,6 +18,7 @@ from lexiflow.llm import p8_evaluation_leaks as p8
 from lexiflow.llm import p9_mixing as p9
 from lexiflow.llm import p10_residue as p10
 from lexiflow.llm.common import table
+from lexiflow.llm.sql import oracle_sql  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -172,7 +173,3 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {k: v for k, v in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit() and "_" in k and callable(v)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
