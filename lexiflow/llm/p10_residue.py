@@ -153,6 +153,7 @@ def residue(df: DataFrame, id_col: str, text_col: str, *, coverage: float = 0.6)
         for b in batches:
             found = [finder.find(t) for t in b["text"]]
             keep = [f is not None for f in found]
-            yield pd.DataFrame({"id": b["id"][keep], "residue": [f[0] for f in found if f], "coverage": [min(1.0, f[1] / max(1, f[2])) for f in found if f]})
+            if any(keep):
+                yield pd.DataFrame({"id": b["id"][keep], "residue": [f[0] for f in found if f], "coverage": [min(1.0, f[1] / max(1, f[2])) for f in found if f]})
 
     return base.mapInPandas(find, f"id {kind}, residue string, coverage double").distinct()

@@ -256,6 +256,7 @@ def test_residue(spark):
     want = {i: re.sub(r"^in_|\d+$", "", i) for i, _ in rows if not i.startswith(("prose", "null"))}
     assert {i: r.residue for i, r in got.items()} == want
     assert all(r.coverage < 0.1 for i, r in got.items() if i.startswith("in_"))
+    assert p10.residue(spark.createDataFrame([("a", PROSE[0]), ("b", None)], "id string, text string"), "id", "text").collect() == []
 
 
 def test_words():
