@@ -71,8 +71,10 @@ def compare_to(means: DataFrame, shares: DataFrame, by: str, focal) -> DataFrame
     word_means = shares.groupBy(by, "word").agg(F.avg("share").alias("share"))
     own = word_means.where(F.col(by) == focal).select("word", F.col("share").alias("f"))
     alike = word_means.join(F.broadcast(own), "word").groupBy(by).agg(F.avg(1 - F.abs(F.col("share") - F.col("f"))).alias("words_alike"))  # one row per function word
-    one = means.where(F.col(by) == focal).limit(1).select(*[F.col(c).alias(f"f_{c}") for c in SCALARS])
-    both = means.join(alike, by).join(F.broadcast(one))  # one row
+    # The focal group's means beside every group's: over one row per group.
+    w = Window.partitionBy(F.lit(0))
+    own_means = [F.max(F.when(F.col(by) == focal, F.col(c))).over(w).alias(f"f_{c}") for c in SCALARS]
+    both = means.join(alike, by).select("*", *own_means)
     clamped, free = style_similarity({c: F.col(c) for c in SCALARS}, {c: F.col(f"f_{c}") for c in SCALARS}, F.col("words_alike"))
     return both.select(by, clamped.alias("similarity"), free.alias("unclamped"))
 
