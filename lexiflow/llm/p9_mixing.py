@@ -99,6 +99,6 @@ def mixture(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, sourc
     used = chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.max("pass").alias("passes"))
     reach = sum(w for w, _ in caps.values()) or 1.0
     report = listed.join(used, "source", "left").join(F.broadcast(spark.createDataFrame([(s, w / reach) for s, (w, _) in caps.items()], "source string, reachable_share double")), "source", "left")
-    whole = chosen.agg(F.sum("tokens").alias("whole"))
-    report = report.join(F.broadcast(whole)).select("source", "target_share", F.coalesce("reachable_share", F.lit(0.0)).alias("reachable_share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("share"), F.coalesce("passes", F.lit(0)).alias("passes"))
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over one row per listed source
+    report = report.withColumn("whole", whole).select("source", "target_share", F.coalesce("reachable_share", F.lit(0.0)).alias("reachable_share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("share"), F.coalesce("passes", F.lit(0)).alias("passes"))
     return chosen.orderBy("finish", "source", "pass", "id"), report
