@@ -6,7 +6,7 @@ Author is ``source``, the focal author is ``FOCAL``. Every query reads its whole
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -549,8 +549,7 @@ def stream_ingest(spark, d):
     source = path if os.path.isdir(path) else d
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if os.path.isdir(path) else "news.parquet").parquet(source)
-    base = os.path.join(ensure_checkpoint_dir(spark), "stream") if "://" in ensure_checkpoint_dir(spark) else tempfile.mkdtemp(dir=None)
-    base = f"{base}/{os.getpid()}_{abs(hash(d)) % 10**8}_{os.urandom(4).hex()}"
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
     stream.dropDuplicates(["id"]).writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/table").groupBy("source").agg(F.count_distinct("id").alias("items"))
 

@@ -8,10 +8,10 @@ from the version before it.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -48,8 +48,10 @@ class NewsLoop:
 
     def last_version(self) -> int:
         """The last batch of which all tables were written."""
-        done = os.path.join(self.path, "done")
-        return max([int(n) for n in os.listdir(done)], default=-1) if os.path.isdir(done) else -1
+        try:
+            return self.spark.read.schema("version int").parquet(f"{self.path}/done").agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+        except AnalysisException:  # nothing was written yet
+            return -1
 
     def news(self) -> DataFrame:
         return self._read("news", NEWS, self.last_version())
@@ -78,7 +80,7 @@ class NewsLoop:
         analyses = store.update_where(analyses, F.col("news_id").isin(sent), {"published": F.lit(True)}) if sent else analyses
         for name, table in (("news", merged), ("analysis", analyses)):
             table.write.mode("overwrite").parquet(f"{self.path}/{name}/version={number}")
-        os.makedirs(os.path.join(self.path, "done", str(number)), exist_ok=True)
+        self.spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
         for key, n in (("fetched", batch.count()), ("processed", len(judged)), ("analysed", sum(bool(j["good"]) for j in judged)), ("published", len(sent)), ("errors", sum(j["error"] is not None for j in judged))):
             self.counters[key] += n
 

@@ -1,6 +1,5 @@
 import math
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -112,22 +111,3 @@ def test_sweep(spark):
 def test_json_profile(spark):
     rows = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": [1]}',), ("no json",), (None,)], "j string")
     assert {(r.key, r.kind) for r in profile.json_profile(rows, "j").collect()} == {("a", "integer"), ("a", "array"), ("b", "string")}
-
-
-@pytest.mark.parametrize("name", ["key_terms_top30", "upsert", "stylometry_profile", "cooccurrence", "knn_concepts", "style_drift"])
-def test_twin_in_sql(spark, name):
-    import duckdb
-
-    from lexiflow.plans import catalog
-
-    d = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in ("documents", "news", "concept_vectors", "embeddings", "sections"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    df = catalog.QUERIES[name](spark, d)
-    cols = sorted(df.columns)
-    flat = lambda v: repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
-    ours = sorted(tuple(flat(v) for v in r) for r in df.select(*cols).collect())
-    cur = con.execute(catalog.SQL[name])
-    at = [[c[0] for c in cur.description].index(c) for c in cols]
-    assert ours == sorted(tuple(flat(r[i]) for i in at) for r in cur.fetchall())
