@@ -34,6 +34,9 @@ EDGE_NUMBER = re.compile(r"^\W{0,3}\d{1,4}\W{1,40}(?=[^\W\d])|(?<=[\w»”])\W{1
 BREAK = re.compile(r"([\w|\\/]+(?:-[\w|\\/]+)*)[-‐­¬]\s*$")
 NEXT = re.compile(r"^\s*([\w|\\/]+(?:-[\w|\\/]+)*)")
 MARK = ""
+HYPHENS = "-‐­¬"
+#: Words in which a Cyrillic letter touches a character of another kind.
+MIXTURE = re.compile(r"[\w|\\/]*(?:[а-яёіїєґ][a-z0-9|\\_]|[a-z0-9|\\_][а-яёіїєґ]|/i[а-яё])[\w|\\/]*")
 TOKEN = re.compile(r"[\w|\\/]+")
 CYRILLIC, OTHER = re.compile(r"[а-яёА-ЯЁіїєґІЇЄҐ]"), re.compile(r"[A-Za-z0-9|\\]")
 PLAIN = re.compile(r"(?<![\w|\\/\-])[а-яё]{4,}(?![\w|\\/\-])")
@@ -67,22 +70,22 @@ class Layout:
         self.by_length: dict[int, list[str]] = {}
         for h in headers:
             self.by_length.setdefault(len(h), []).append(h)
+        self.longest = max(self.by_length, default=0)
 
     def is_header(self, line: str) -> bool:
-        s = line.strip()
-        if not 4 <= len(s) <= HEADER_MAX + 20:
+        """``line`` is stripped. Longer lines than any running header with a number are told at once."""
+        if len(line) < 4 or line[-1] in ".!?…,;:-¬" or "|" in line or len(line) - line.count(" ") > self.longest + 9:
             return False
-        key = header_key(EDGE_NUMBER.sub("", s))
+        key = header_key(EDGE_NUMBER.sub("", line))
         if key in self.headers:
             return True
-        if len(key) < 8 or s[-1] in ".!?,;:" or "|" in s and len(s) > 40:
-            return False
-        return any(sum(a != b for a, b in zip(key, h)) <= max(1, len(h) // 10) for h in self.by_length.get(len(key), ()))
+        return len(key) >= 8 and any(sum(a != b for a, b in zip(key, h)) <= max(1, len(h) // 10) for h in self.by_length.get(len(key), ()))
 
     def parse(self, text: str) -> dict:
         lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         header = pageno = False
-        body: list[str] = []
+        paragraphs: list[list[str]] = []
+        last = ""
         breaks: list[tuple[str, str, str]] = []
         gap_blank = gap_cut = False
         for i, line in enumerate(lines):
@@ -90,33 +93,34 @@ class Layout:
             if not s:
                 gap_blank = True
                 continue
-            if i and NUMBER_LINE.match(s):
+            if i and len(s) <= 20 and NUMBER_LINE.match(s):
                 pageno = gap_cut = True
                 continue
             if i and self.is_header(s):
                 header = gap_cut = True
                 pageno |= bool(EDGE_NUMBER.search(s))
                 continue
-            if not body:
-                body.append(s)
+            # ``last`` is the line before without its ends' white space.
+            broken = BREAK.search(last) if last and last[-1] in HYPHENS and s[0].islower() else None
+            if not paragraphs:
+                paragraphs.append([s])
+            elif broken and CYRILLIC.search(broken[1]):
+                left, right = broken[1].lower(), NEXT.match(s)[1].lower()
+                breaks.append((left + right, f"{left}-{right}", left.rpartition("-")[2]))
+                paragraphs[-1][-1] = last[: broken.end(1)]
+                paragraphs[-1] += [MARK, s]
+            elif broken:
+                paragraphs[-1].append(s)
+            elif (gap_cut and (last[-1] not in ".!?…»”:" or s[0].islower())) or not (gap_blank or (not gap_cut and line.startswith(("  ", "\t")))):
+                paragraphs[-1] += [" ", s]
             else:
-                broken, nxt = BREAK.search(body[-1]), NEXT.match(line)
-                broken = broken if nxt and s[0].islower() else None
-                goes_on = bool(broken) or (gap_cut and (body[-1].rstrip()[-1] not in ".!?…»”:" or s[0].islower())) or not gap_blank
-                if broken and CYRILLIC.search(broken[1]):
-                    left, right = broken[1], nxt[1]
-                    breaks.append(((left + right).lower(), f"{left}-{right}".lower(), left.lower().rpartition("-")[2]))
-                    body[-1] = body[-1][: broken.end(1)] + MARK + s
-                elif broken:
-                    body[-1] = body[-1].rstrip() + s
-                elif goes_on and not (not gap_cut and re.match(r" {2,}|\t", line)):
-                    body[-1] = f"{body[-1].rstrip()} {s}"
-                else:
-                    body.append(s)
+                paragraphs.append([s])
+            last = s
             gap_blank = gap_cut = False
-        whole = "\n\n".join(body)
+        whole = "\n\n".join("".join(p) for p in paragraphs)
         joined = whole.replace(MARK, "").lower()
-        return {"header": header, "pageno": pageno, "mixed": any(_mixed(t) for t in TOKEN.findall(joined)), "body": whole, "breaks": breaks, "tokens": sorted(set(PLAIN.findall(joined))), "compounds": sorted(set(COMPOUND.findall(whole.lower())))}
+        mixed = any(_mixed(m.group()) for m in MIXTURE.finditer(joined))
+        return {"header": header, "pageno": pageno, "mixed": mixed, "body": whole, "breaks": breaks, "tokens": list(set(PLAIN.findall(joined))), "compounds": list(set(COMPOUND.findall(whole.lower()))) if "-" in whole else []}
 
 
 def _mixed(token: str) -> bool:
@@ -133,8 +137,10 @@ def unmix(token: str) -> str:
     return low.upper() if len(token) > 1 and token.isupper() else low.capitalize() if token[:1].isupper() else low
 
 
-def _prepare(df: DataFrame, id_col: str, text_col: str, limits: dict) -> DataFrame:
-    base = spread(df.select(col(id_col).alias("id"), col(text_col).alias("text"))).where("text is not null and text <> ''").distinct()
+def _prepare(df: DataFrame, id_col: str, text_col: str, limits: dict, *keep: str) -> DataFrame:
+    """The parsed texts, with ``keep`` of text and body; written once, as they are read for the vocabulary,
+    the breaks, the misread words and the repair."""
+    base = spread(df.select(col(id_col).alias("id"), col(text_col).alias("text"))).where("text is not null and text <> ''")
     shared = df.sparkSession.sparkContext.broadcast(running_headers(base, **limits))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,11 +148,13 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, limits: dict) -> DataFra
         for b in batches:
             rows = [layout.parse(t) for t in b["text"]]
             out = pd.DataFrame(rows, columns=["header", "pageno", "mixed", "body", "breaks", "tokens", "compounds"])
-            yield out.assign(id=b["id"].to_numpy(), text=b["text"].to_numpy(), breaks=[[{"joined": j, "hyphenated": h, "prefix": p} for j, h, p in r["breaks"]] for r in rows])
+            yield out.assign(id=b["id"].to_numpy(), key=b["key"].to_numpy(), text=b["text"].to_numpy(), breaks=[[{"joined": j, "hyphenated": h, "prefix": p} for j, h, p in r["breaks"]] for r in rows])[names]
 
     kind = base.schema["id"].dataType.simpleString()
-    # Read several times: for the vocabulary, the breaks, the misread words and the repair.
-    return checkpointed(base.mapInPandas(parse, f"id {kind}, text string, header boolean, pageno boolean, mixed boolean, body string, breaks array<struct<joined:string,hyphenated:string,prefix:string>>, tokens array<string>, compounds array<string>"))
+    fields = {"id": kind, "key": "string", "header": "boolean", "pageno": "boolean", "mixed": "boolean", "breaks": "array<struct<joined:string,hyphenated:string,prefix:string>>", "tokens": "array<string>", "compounds": "array<string>"} | dict.fromkeys(keep, "string")
+    names = list(fields)
+    keyed = base.withColumn("key", F.md5(F.concat_ws("\u0001", F.col("id").cast("string"), "text")))
+    return checkpointed(keyed.mapInPandas(parse, ", ".join(f"{n} {t}" for n, t in fields.items())))
 
 
 def _vocabulary(parsed: DataFrame) -> DataFrame:
@@ -157,7 +165,7 @@ def _breaks(parsed: DataFrame) -> DataFrame:
     """(id, key, at, own): for each broken word whether the hyphen is its own."""
     compounds = parsed.select(F.explode("compounds").alias("hyphenated")).groupBy("hyphenated").agg(F.count("*").alias("h"))
     prefixes = compounds.groupBy(F.substring_index("hyphenated", "-", 1).alias("prefix")).agg(F.sum("h").alias("p"))
-    rows = parsed.select("id", F.md5(F.concat_ws("\u0001", F.col("id").cast("string"), "text")).alias("key"), F.posexplode("breaks").alias("at", "b")).select("id", "key", "at", "b.*")
+    rows = parsed.select("id", "key", F.posexplode("breaks").alias("at", "b")).select("id", "key", "at", "b.*")
     asked = rows.select(F.col("joined").alias("word")).distinct()
     known = _vocabulary(parsed).join(asked, "word", "left_semi").select(F.col("word").alias("joined"), F.col("n").alias("j"))
     j, h, p = (F.coalesce(c, F.lit(0)) for c in ("j", "h", "p"))
@@ -183,7 +191,8 @@ def misread_words(parsed: DataFrame, *, ratio: float = 6.0, known_from: int = 4)
 def scan_noise(df: DataFrame, id_col: str, text_col: str, **limits) -> DataFrame:
     """(id, noise): the kinds of noise of every text: hyphen, misread, header, pageno; distinct.
 
-    Null and empty texts have none; null ids stay null; repeated rows count once. An empty table
+    Null and empty texts have none; null ids stay null; repeated rows only weigh in the
+    vocabulary as often as they come. An empty table
     gives an empty result. Other columns of ``df`` are never read.
     """
     parsed = _prepare(df, id_col, text_col, limits)
@@ -194,16 +203,16 @@ def scan_noise(df: DataFrame, id_col: str, text_col: str, **limits) -> DataFrame
 
 
 def repaired(df: DataFrame, id_col: str, text_col: str, **limits) -> DataFrame:
-    """(id, text, repaired, changed): every distinct (id, text) with its repaired text.
+    """(id, text, repaired, changed): every row with its repaired text; repeated rows stay.
 
     A text without noise comes out as it is. Else running headers and page numbers are gone, the
     lines of a paragraph are joined, broken words are whole, and misread words are corrected.
     Null and empty texts come out as they are.
     """
-    parsed = _prepare(df, id_col, text_col, limits)
-    own = _breaks(parsed).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("own"))
-    wrong = parsed.select("id", F.md5(F.concat_ws("\u0001", F.col("id").cast("string"), "text")).alias("key"), F.explode("tokens").alias("word")).join(misread_words(parsed), "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("meant"))
-    rows = parsed.withColumn("key", F.md5(F.concat_ws("\u0001", F.col("id").cast("string"), "text"))).join(own, "key", "left").join(wrong, "key", "left")
+    parsed = _prepare(df, id_col, text_col, limits, "text", "body")
+    own = _breaks(parsed).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "own"))).alias("own"))
+    wrong = parsed.select("key", F.explode("tokens").alias("word")).join(misread_words(parsed), "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("meant"))
+    rows = parsed.join(own, "key", "left").join(wrong, "key", "left")
     rows = rows.select("id", "text", "header", "pageno", "mixed", "body", F.transform("own", lambda o: o["own"]).alias("own"), F.map_keys("meant").alias("bad"), F.map_values("meant").alias("good"))
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,5 +239,5 @@ def repaired(df: DataFrame, id_col: str, text_col: str, **limits) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     done = rows.mapInPandas(fix, f"id {kind}, text string, repaired string, changed boolean")
-    rest = df.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text is null or text = ''").distinct()
+    rest = df.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text is null or text = ''")
     return done.unionAll(rest.select("id", "text", F.col("text").alias("repaired"), F.lit(False).alias("changed")))
