@@ -594,7 +594,7 @@ def feed_stats(spark, d):
     return profile.date_span(read(spark, d, "news"), "source", "date").withColumn("days", big(F.col("days")))
 
 
-# --- extensions: plain relational queries, not derived from the reference --------------------------
+# --- extensions: plain relational queries over the star schema ------------------------------------
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
