@@ -5,8 +5,8 @@ its fingerprint, which is split into ``bands`` blocks of ``rows`` values each. I
 differ in fewer than ``bands`` places, by the pigeonhole principle one block is equal in both; in
 general two sets of Jaccard similarity s share a block with probability
 ``1 - (1 - s**rows) ** bands`` (0.996 at s = 0.6, 0.9999 at 0.7 with the defaults). Pairs that share
-a block are verified by the Hamming distance of a 128-bit sketch (one bit per min-wise value), whose
-threshold lies four standard deviations beyond the distance expected at the wanted similarity, and
+a block are verified by the Hamming distance of a 184-bit sketch (one bit per min-wise value), whose
+threshold lies 3.5 standard deviations beyond the distance expected at the wanted similarity, and
 then exactly on the two sets.
 
 Texts with the same word set are one class, so copies cost nothing beyond the first; blocks join
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm.common import col, spread, words_of
 
-BANDS, ROWS, SKETCH_BITS = 40, 4, 128
+BANDS, ROWS, SKETCH_BITS = 40, 4, 184
 
 
-def hamming_limit(similarity: float, bits: int = SKETCH_BITS, sigmas: float = 4.0) -> int:
+def hamming_limit(similarity: float, bits: int = SKETCH_BITS, sigmas: float = 3.5) -> int:
     """Bits by which two sketches may differ: equal bits are expected in (1 + s) / 2 of the places."""
     p = (1 - similarity) / 2
     return math.ceil(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
@@ -73,7 +73,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, *, order_c
     members = sets.groupBy("id").agg(F.min(F.struct("at", F.isnull("words").alias("none"), "set_key")).alias("m")).where("not m.none").select("id", F.col("m.set_key").alias("class"))
     classes = sets.where("words is not null").groupBy("set_key").agg(F.first("words").alias("words"))
 
-    n, half = bands * rows, SKETCH_BITS // 2
+    n = bands * rows
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -83,9 +83,12 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, *, order_c
             flat = np.concatenate(b["words"].to_numpy()).astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             values = minwise(flat, starts, max(n, SKETCH_BITS))
-            bits = (values[:SKETCH_BITS] & 1).astype(np.uint64)
-            weights = np.uint64(1) << np.arange(half, dtype=np.uint64)
-            sketch = [(bits[k * half : (k + 1) * half] * weights[:, None]).sum(0, dtype=np.uint64).view(np.int64) for k in (0, 1)]
+            # Three words: 184 bits of the sketch, and in the last byte the set's size on a log scale.
+            bits = np.zeros((192, len(b)), np.uint64)
+            bits[:SKETCH_BITS] = values[:SKETCH_BITS] & 1
+            weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+            sketch = [(bits[k * 64 : k * 64 + 64] * weights[:, None]).sum(0, dtype=np.uint64) for k in range(3)]
+            sketch[2] |= np.minimum(255, np.round(16 * np.log2(lengths))).astype(np.uint64) << np.uint64(56)
             keys = np.zeros((bands, len(b)), np.uint64)
             for band in range(bands):
                 h = np.full(len(b), (band + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
@@ -93,13 +96,15 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, *, order_c
                     h = (h ^ values[band * rows + r]) * np.uint64(0xBF58476D1CE4E5B9)
                     h ^= h >> np.uint64(31)
                 keys[band] = h
-            yield pd.DataFrame({"set_key": b["set_key"], "lo": sketch[0], "hi": sketch[1], "n": lengths.astype(np.int32), "blocks": list(keys.T.view(np.int64))})
-
-    prints = classes.mapInPandas(blocks, "set_key long, lo long, hi long, n int, blocks array<long>")
-    side = prints.select("set_key", "lo", "hi", "n", F.explode("blocks").alias("block"))
-    a, b = (side.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "lo", "hi", "n")]) for s in "ab")
-    distance = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
-    sizes_fit = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9)
+            yield pd.DataFrame({"set_key": b["set_key"], **{f"s{k}": x.view(np.int64) for k, x in enumerate(sketch)}, "blocks": list(keys.T.view(np.int64))})
+
+    prints = classes.mapInPandas(blocks, "set_key long, s0 long, s1 long, s2 long, blocks array<long>")
+    side = prints.select("set_key", "s0", "s1", "s2", F.explode("blocks").alias("block"))
+    a, b = (side.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "s0", "s1", "s2")]) for s in "ab")
+    apart = [F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b")) for k in range(3)]
+    distance = F.bit_count(apart[0]) + F.bit_count(apart[1]) + F.bit_count(F.shiftleft(apart[2], 8))
+    sizes = [F.shiftrightunsigned(f"s2_{s}", 56) for s in "ab"]
+    sizes_fit = F.abs(sizes[0] - sizes[1]) <= math.ceil(16 * math.log2(1 / similarity)) + 1
     near = a.join(b, "block").where((F.col("set_key_a") < F.col("set_key_b")) & sizes_fit & (distance <= hamming_limit(similarity)))
     pairs = near.select("set_key_a", "set_key_b").distinct()
     left = classes.select(F.col("set_key").alias("set_key_a"), F.col("words").alias("words_a"))
