@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import col, spread
+from lexiflow.llm.common import checkpointed, col, spread
 
 #: Signs for nothing: a text that is one of them, or has no word, is no text that could be cut.
 NOTHING = "null none nil nan na n a n/a нет ничего пусто undefined empty void".split()
@@ -127,30 +127,35 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, *, li
     ``nothing``); repeated rows come out once. An empty table gives an empty result.
     """
     limit = col(limit_col).cast("int") if limit_col else F.lit(None).cast("int")
-    base = df.select(col(id_col).alias("id"), col(text_col).alias("text"), col(source_col).cast("string").alias("source"), limit.alias("slot")).distinct()
-    text = stripped(F.col("text"))
-    rows = spread(base).select("id", "source", "slot", "text", F.xxhash64("text").alias("text_key"), has_words(F.col("text")).alias("some"), F.length("text").alias("chars"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")).alias("words"), text.alias("bare"))
-    rows = rows.select("*", F.when(F.col("some"), ending(F.col("bare"))).otherwise("nothing").alias("ending"), F.lower(F.regexp_extract(F.translate("bare", "ёЁ", "еЕ"), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("last"))
+    base = spread(df.select(col(id_col).alias("id"), col(text_col).alias("text"), col(source_col).cast("string").alias("source"), limit.alias("slot")))
+    bare = base.select("id", "source", "slot", F.xxhash64("text").alias("text_key"), has_words(F.col("text")).alias("some"), F.length("text").alias("chars"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")).alias("words"), stripped(F.col("text")).alias("bare"))
+    classed = bare.select(
+        "id", "source", "slot", "text_key", "some", "chars", "words", F.when(F.col("some"), ending(F.col("bare"))).otherwise("nothing").alias("ending"),
+        F.lower(F.regexp_extract(F.translate(F.right("bare", F.lit(200)), "ёЁ", "еЕ"), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("last"),
+        F.right("bare", F.lit(200)).rlike(r"#[\p{L}\p{N}_]+[\s,]*$").alias("tagged"), F.right("bare", F.lit(200)).rlike(r"(?:https?://|www\.)\S+$").alias("link"),
+    )
+    # Without the texts: written once, read for the lengths, the words to ask about and the judgement.
+    rows = checkpointed(classed.distinct())
 
     some = rows.where("some")
     chars = some.groupBy("source", F.col("chars").alias("length")).agg(F.count("*").alias("n")).select("source", F.lit("chars").alias("measure"), F.lit(0).alias("slot"), "length", "n", F.lit(False).alias("declared"))
     declared = some.where("slot is not null").groupBy("source", "slot", F.col("words").alias("length")).agg(F.count("*").alias("n")).select("source", F.lit("words").alias("measure"), "slot", "length", "n", (F.col("length") == F.col("slot")).alias("declared"))
-    limits = censoring_limits(chars.unionAll(declared))
+    limits = checkpointed(censoring_limits(chars.unionAll(declared)))
     by_chars = limits.where("measure = 'chars'").select(F.col("source").alias("s1"), F.col("limit").alias("l1"), F.col("posterior").alias("p1"))
     by_words = limits.where("measure = 'words'").select(F.col("source").alias("s2"), F.col("slot").alias("k2"), F.col("limit").alias("l2"), F.col("posterior").alias("p2"))
 
-    corpus = some.select(F.col("text").alias("t"))
+    corpus = base.select(F.col("text").alias("t")).where("t is not null")
     for other, name in vocabulary_from or []:
         corpus = corpus.unionAll(other.select(col(name).alias("t")).where("t is not null"))
     asked = some.where("ending in ('dots', 'structured')").select(F.col("last").alias("word")).distinct()
-    known = corpus.select(F.explode(_tokens(F.col("t"))).alias("k")).select("k.word", "k.ends").groupBy("word").agg(F.count("*").alias("known"), F.count_if("ends").alias("known_ends")).join(asked, "word", "left_semi").withColumnRenamed("word", "last")
+    known = checkpointed(corpus.select(F.explode(_tokens(F.col("t"))).alias("k")).select("k.word", "k.ends").groupBy("word").agg(F.count("*").alias("known"), F.count_if("ends").alias("known_ends")).join(asked, "word", "left_semi").withColumnRenamed("word", "last"))
 
+    # The three small tables are written, so their sizes are known when the joins are planned.
     judged = rows.join(known, "last", "left").join(by_chars, F.col("source").eqNullSafe(F.col("s1")) & (F.col("chars") == F.col("l1")), "left").join(by_words, F.col("source").eqNullSafe(F.col("s2")) & (F.col("slot") == F.col("k2")) & (F.col("words") == F.col("l2")), "left")
     n, e = F.coalesce("known", F.lit(0)), F.coalesce("known_ends", F.lit(0))
     # Five uses inside sentences and no end in any of them, or hardly any use at all: no word to end on.
     broken = (n <= 1) | (e < F.col("known") * 0.01) | ((n >= 5) & (e == 0))
-    tagged, link = F.col("bare").rlike(r"#[\p{L}\p{N}_]+[\s,]*$"), F.col("bare").rlike(r"(?:https?://|www\.)\S+$")
-    full = F.when(F.col("ending") == "dots", F.when(broken, "dots_broken").otherwise("dots")).when((F.col("ending") == "structured") & ~link & F.when(tagged, n <= 1).otherwise(broken), "structured_broken").otherwise(F.col("ending"))
+    full = F.when(F.col("ending") == "dots", F.when(broken, "dots_broken").otherwise("dots")).when((F.col("ending") == "structured") & ~F.col("link") & F.when(F.col("tagged"), n <= 1).otherwise(broken), "structured_broken").otherwise(F.col("ending"))
     at = F.greatest(F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0)))
     ratio = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v)])
     judged = judged.withColumn("ending", full).withColumn("at_limit", at)

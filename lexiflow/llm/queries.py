@@ -113,13 +113,16 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    news = table(spark, d, "news").where("id is not null").groupBy("id").agg(F.min_by(F.struct("title", "content", "source"), "created_at").alias("n"))
-    analyses = table(spark, d, "analysis").select("news_id", "analysis").distinct().join(news, F.col("news_id") == F.col("id")).select("news_id", "analysis", "n.*").withColumn("question", F.concat_ws("\n", "title", "content"))
-    judged = p5.truncation(analyses, "news_id", "analysis", "source").select(F.col("id").alias("news_id"), "text_key", F.col("truncated").alias("cut"), "ending", "at_limit")
-    a = analyses.withColumn("text_key", F.xxhash64("analysis")).join(judged, ["news_id", "text_key"]).select(F.lit("analysis").alias("pair_kind"), F.col("news_id").alias("pair_id"), "question", F.col("analysis").alias("answer"), "cut", "ending", "at_limit")
-    runs = table(spark, d, "parameter_results").select("run_id", "prompt", "response").distinct().withColumn("text_key", F.xxhash64("response"))
-    judged = _judged_runs(spark, d).groupBy("id", "text_key").agg(F.max("truncated").alias("cut"), F.first("ending").alias("ending"), F.max("at_limit").alias("at_limit")).withColumnRenamed("id", "run_id")
-    r = runs.join(judged, ["run_id", "text_key"]).select(F.lit("run").alias("pair_kind"), F.col("run_id").cast("string").alias("pair_id"), F.col("prompt").alias("question"), F.col("response").alias("answer"), "cut", "ending", "at_limit")
+    """Questions and answers with the evidence of the answers' endings; texts are shuffled by id once."""
+    news = table(spark, d, "news").where("id is not null")
+    first = news.groupBy("id").agg(F.min("created_at").alias("first"))
+    asked = news.join(first, "id").where(F.col("created_at").eqNullSafe(F.col("first"))).select("id", F.concat_ws("\n", "title", "content").alias("question"))
+    judged = _judged_analyses(spark, d).select("id", F.col("text_key").alias("judged_key"), F.col("truncated").alias("cut"), "ending", "at_limit")
+    answers = table(spark, d, "analysis").select(F.col("news_id").alias("id"), F.col("analysis").alias("answer"), F.xxhash64("analysis").alias("key"))
+    a = asked.join(answers, "id").join(judged, "id").where("key = judged_key").select(F.lit("analysis").alias("pair_kind"), F.col("id").alias("pair_id"), "question", "answer", "cut", "ending", "at_limit")
+    runs = table(spark, d, "parameter_results").select(F.col("run_id").alias("id"), F.col("prompt").alias("question"), F.col("response").alias("answer"), F.xxhash64("response").alias("key"))
+    judged = _judged_runs(spark, d).groupBy("id", "text_key").agg(F.max("truncated").alias("cut"), F.max("ending").alias("ending"), F.max("at_limit").alias("at_limit")).withColumnRenamed("text_key", "judged_key")
+    r = runs.join(judged, "id").where("key = judged_key").select(F.lit("run").alias("pair_kind"), F.col("id").cast("string").alias("pair_id"), "question", "answer", "cut", "ending", "at_limit")
     return a.unionAll(r)
 
 
