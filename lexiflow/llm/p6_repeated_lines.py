@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import col, spread
+from lexiflow.llm.common import checkpointed, col, spread
 
 MIN_ITEMS, MIN_SHARE = 5, 0.05
 
@@ -57,15 +57,22 @@ def boilerplate_blocks(df: DataFrame, id_col: str, text_col: str, source_col: st
     counts as an item of its source); repeated rows of an id count once. ``sample`` is the least of
     the line's spellings. An empty table gives an empty result.
     """
+    return _blocks(df, id_col, text_col, source_col, min_items, min_share)
+
+
+def _blocks(df: DataFrame, id_col: str, text_col: str, source_col: str, min_items: int, min_share: float) -> DataFrame:
     lines = _lines(df, id_col, text_col, source_col)
-    total = df.select(col(id_col).alias("id"), col(source_col).alias("source")).where("id is not null and source is not null").groupBy("source").agg(F.count_distinct("id").alias("total"))
-    counted = lines.groupBy("source", "node", "id").agg(F.min("line").alias("line")).groupBy("source", "node").agg(F.count("*").alias("items"), F.min("line").alias("sample"))
-    nodes = counted.where(F.col("items") >= min_items).join(total, "source").where(F.col("items") >= F.col("total") * min_share - 1e-9).select("source", "node", "items", "sample")
+    total = df.select(F.xxhash64(col(id_col)).alias("item"), col(id_col).alias("id"), col(source_col).alias("source")).where("id is not null and source is not null").select("source", "item").distinct().groupBy("source").agg(F.count("*").alias("total"))
+    counted = lines.select("source", "node", F.xxhash64("id").alias("item")).distinct().groupBy("source", "node").agg(F.count("*").alias("items"))
+    # Written, as the next steps read them three times, and so that their size is known when joins are planned:
+    # a source has at most mean lines per item / min_share nodes.
+    nodes = checkpointed(counted.where(F.col("items") >= min_items).join(total, "source").where(F.col("items") >= F.col("total") * min_share - 1e-9).select("source", "node", "items"))
     ends = nodes.select("source", "node")
-    edges = lines.where("after is not null").select("source", "node", "after", "id").join(ends, ["source", "node"], "left_semi").join(ends.withColumnRenamed("node", "after"), ["source", "after"], "left_semi")
+    samples = lines.join(nodes, ["source", "node"]).groupBy("source", "node").agg(F.first("items").alias("items"), F.min("line").alias("sample"))
+    edges = lines.where("after is not null").join(ends, ["source", "node"], "left_semi").join(ends.withColumnRenamed("node", "after"), ["source", "after"], "left_semi").select("source", "node", "after", F.xxhash64("id").alias("item"))
     heavy = edges.distinct().groupBy("source", "node", "after").agg(F.count("*").alias("items")).where(F.col("items") >= min_items).groupBy("source", "node").agg(F.collect_list("after").alias("edges"))
-    graph = nodes.join(heavy, ["source", "node"], "left")
-    return graph.groupBy("source").applyInPandas(_components, "source string, node long, block long, items long, sample string")
+    graph = samples.join(heavy, ["source", "node"], "left")
+    return checkpointed(graph.groupBy("source").applyInPandas(_components, "source string, node long, block long, items long, sample string"))
 
 
 def repeated_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, **limits) -> DataFrame:
