@@ -34,6 +34,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, n: int, total: int, *columns: str) -> list:
+    """At most ``n`` rows, the same on every run: of ``total`` rows some ``3 n`` are kept by hash where they lie,
+    so the tasks together send a bounded number to the driver however many they are."""
+    parts = max(1, total // (3 * n))
+    kept = df.where(F.pmod(F.xxhash64(*columns), F.lit(parts)) == 0)
+    return kept.orderBy(F.xxhash64(F.lit(1), *columns), *columns).limit(n).collect()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once, as a compressed table in the shared folder, and read them back.
 

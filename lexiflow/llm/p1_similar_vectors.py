@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import checkpointed, col, spread
+from lexiflow.llm.common import bounded_sample, checkpointed, col, spread
 
 SAMPLE_ROWS, LEVELS, WORDS, BEAM, CHUNK = 20_000, 6, 256, 4, 4096
 
@@ -144,7 +144,7 @@ def most_similar(
     spark = df.sparkSession
     vectors = unit_vectors(df, id_col, vector_col, width).groupBy("id").agg(F.min("vector").alias("vector"))
     classes = vectors.groupBy("vector").agg(F.count("*").alias("n"), F.min("id").alias("first")).select("first", "vector")
-    rows = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).collect()
+    rows = bounded_sample(classes.select("vector"), sample_rows, df.count(), "vector")
     if not rows:
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
     sample = np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), np.float32).reshape(-1, width)
