@@ -35,8 +35,9 @@ BREAK = re.compile(r"([\w|\\/]+(?:-[\w|\\/]+)*)[-‐­¬]\s*$")
 NEXT = re.compile(r"^\s*([\w|\\/]+(?:-[\w|\\/]+)*)")
 MARK = ""
 HYPHENS = "-‐­¬"
-#: Words in which a Cyrillic letter touches a character of another kind.
-MIXTURE = re.compile(r"[\w|\\/]*(?:[а-яёіїєґ][a-z0-9|\\_]|[a-z0-9|\\_][а-яёіїєґ]|/i[а-яё])[\w|\\/]*")
+#: Where a Cyrillic letter touches a character of another kind.
+TOUCH = re.compile(r"[а-яёіїєґ][a-z0-9|\\_]|[a-z0-9|\\_][а-яёіїєґ]|/i[а-яё]")
+INSIDE = re.compile(r"[\w|\\/]")
 TOKEN = re.compile(r"[\w|\\/]+")
 CYRILLIC, OTHER = re.compile(r"[а-яёА-ЯЁіїєґІЇЄҐ]"), re.compile(r"[A-Za-z0-9|\\]")
 PLAIN = re.compile(r"(?<![\w|\\/\-])[а-яё]{4,}(?![\w|\\/\-])")
@@ -119,10 +120,17 @@ class Layout:
             gap_blank = gap_cut = False
         whole = "\n\n".join("".join(p) for p in paragraphs)
         joined = whole.replace(MARK, "").lower()
-        mixed = any(_mixed(m.group()) for m in MIXTURE.finditer(joined))
+        mixed = any(_mixed(_token_at(joined, m.start())) for m in TOUCH.finditer(joined))
         return {"header": header, "pageno": pageno, "mixed": mixed, "body": whole, "breaks": breaks, "tokens": list(set(PLAIN.findall(joined))), "compounds": list(set(COMPOUND.findall(whole.lower()))) if "-" in whole else []}
 
 
+def _token_at(text: str, at: int) -> str:
+    start = at
+    while start and INSIDE.match(text[start - 1]):
+        start -= 1
+    return TOKEN.match(text, start).group()
+
+
 def _mixed(token: str) -> bool:
     """A word with Cyrillic letters and characters of another kind within it."""
     return bool(CYRILLIC.search(token) and (OTHER.search(token) or "/i" in token)) and not re.fullmatch(r"\d+[а-яё]{1,3}|[а-яё]{1,3}\d+|[а-яё]+(?:/[а-яё]+)+", token)
