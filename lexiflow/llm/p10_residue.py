@@ -58,13 +58,25 @@ MOCK_LATIN = "lorem|ipsum"
 FUNCTION_WORDS = frozenset("и в на не что с по как из the of and to in is that for der die das und ist le la les des et est que и та що не".split())
 
 NAME = r"[^\W\d][\w.:\-]*(?: [\w.:\-]+){0,3}"
+#: Words that ask for a field to be filled, and usual names of fields (lower case; also taken in capitals).
+FILL_IN = "вставить|вставьте|указать|укажите|заполнить|заполните|вписать|впишите|insert|fill in|todo|tbd|ausfüllen|einfügen|eintragen|à remplir|à compléter|insérer|вставити|вказати|заповнити"
+FIELDS = (
+    "имя|фамилия|отчество|фио|дата|время|тема|сумма|заголовок|название|город|адрес|телефон|должность|организация|подпись|номер|автор|том|"
+    "title|name|author|date|time|subject|topic|amount|sum|city|address|phone|email|body|volume|number|company|signature|"
+    "titel|vorname|nachname|datum|betreff|betrag|stadt|adresse|unterschrift|nom|prénom|titre|objet|montant|ville|прізвище|назва|місто|сума|адреса|підпис"
+)
+#: After a fill-in word in lower case these go on with prose, not with a field.
+NO_FIELD = r"(?!(?:на|в|во|что|как|с|со|к|по|о|об|за|им|ему|ей|that|how|into|to|in)\b)"
 PLACEHOLDER = re.compile(
     rf"\{{\{{\s*{NAME}\s*\}}\}}|\{{%\s*{NAME}[^%\n]{{0,60}}%\}}|<%[=\-]?\s*{NAME}[^%\n]{{0,60}}%>|[$#]\{{\s*{NAME}\s*\}}|(?<![{{$#])\{{\s*[^\W\d][\w.\-]*\s*\}}(?!\}})"
     rf"|\[\[\s*{NAME}\s*\]\]|@@{NAME}@@|%\({NAME}\)[sdf]|(?<!\w)%[^\W\d][\w.]{{2,}}%(?!\w)"
     rf"|(?:<|&lt;)\s*(?:ВАШ\w*|ваш\w*|YOUR|your|INSERT|IHR|VOTRE)[ _]{NAME}\s*(?:>|&gt;)|&lt;\s*(?!/|(?:b|i|u|p|a|br|hr|em|li|ul|ol|td|tr|th|div|span|strong|table|img|sup|sub|h[1-6]|code|pre|noscript|script)\b)[^\W\d][\w.]*\s*&gt;"
-    rf"|\[(?:ВСТАВИТЬ|ВСТАВЬТЕ|УКАЗАТЬ|ЗАПОЛНИТЬ|INSERT|FILL IN|YOUR|TODO|TBD)(?::| )\s*{NAME}\]",
+    rf"|\[(?:ВСТАВИТЬ|ВСТАВЬТЕ|УКАЗАТЬ|ЗАПОЛНИТЬ|INSERT|FILL IN|YOUR|TODO|TBD)(?::| )\s*{NAME}\]"
+    rf"|\[\s*(?i:{FILL_IN})\s*(?::\s*[^\W\d][^\[\]\n]*|\s(?i:{NO_FIELD}){NAME}\s*)\]|\[\s*[^\W\d][^\[\]\n]*[—–:\-]\s*(?i:{FILL_IN})\s*\]|\[\s*(?i:your|ihr|votre)[ _](?i:{FIELDS})\s*\]"
+    rf"|(?:<|&lt;)\?(?!(?i:xml))(?:=|php\b)?\s*(?:echo\s+)?\$?[^\W\d](?:[^?<\n]|\?(?!>|&gt;))*\?(?:>|&gt;)"
+    rf"|(?<!_)_{{3,}}+[ \t]*\([ \t]*[^\W\d_][^()\n]*\)|(?<!\w)__(?!name__)(?:[^\W\d_]+[._])*(?:{FIELDS}|{FIELDS.upper()})__(?!\w|\s*=)",
 )
-OPENERS = ("{", "<%", "[[", "@@", "%(", "%", "&lt;", "<", "[")
+OPENERS = ("{", "<%", "[[", "@@", "%(", "%", "&lt;", "<", "[", "__")
 AGAIN = re.compile(r"(?<!\w)([^\W\d]\w+)(?:\W+\1){4,}(?!\w)")
 CUT = re.compile(r"(?<=[.!?…])[»”\"')\]]*\s+|\n+|</?[a-z]+>")
 LETTERS = re.compile(r"[^\W\d_]")

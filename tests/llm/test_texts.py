@@ -259,5 +259,15 @@ def test_residue(spark):
     assert p10.residue(spark.createDataFrame([("a", PROSE[0]), ("b", None)], "id string, text string"), "id", "text").collect() == []
 
 
+FIELDS = ["[имя — заполнить] родился", "По [title — заполнить] мысли", "[дата: указать]", "[Заполнить: фамилию, имя и отчество]", "[insert date here]", "[your name]", "Том <?= $city ?>.", "<? echo $x ?>", "&lt;?= $x ?&gt;", "По вопросу ___________ (дата) решено", "____(подпись, печать)", "Автор: __author_name__.", "Уважаемый __имя__, пишем", "__ФИО__"]
+NO_FIELDS = ["Он хотел [указать на ошибку] ему.", "[your Majesty] said", '<?xml version="1.0"?> файл', "____ линия", "___\n(примечание)", "__важно__ и __Дата__ выхода", "if __name__ == '__main__':", "__title__ = 'x'", "[стр. 9] и [так указать следует]"]
+
+
+def test_fields_of_every_form():
+    finder = p10.ResidueFinder()
+    assert [t for t in FIELDS if (finder.find(t) or ("",))[0] != "placeholder"] == []
+    assert [t for t in NO_FIELDS if finder.find(t)] == []
+
+
 def test_words():
     assert words("Ёлка-2, да_нет: é1") == ["елка", "2", "да", "нет", "é1"] and words(None) == []
