@@ -58,19 +58,22 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, order_col: str | None,
     return hashed.withColumn("words", F.when(F.size("words") >= min_words, F.col("words"))).withColumn("set_key", F.xxhash64("words", F.lit(1)))
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, *, order_col: str | None = None, similarity: float = 0.8, min_words: int = 1, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, *, order_col: str | None = None, similarity: float = 0.8, min_words: int = 1, every: bool = False, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Membership (id, class) and links (class_a, class_b, similarity), class_a < class_b.
 
     A class is a set of words; its id is a 64-bit hash of the sorted set. Links are between
     different classes whose sets have a Jaccard similarity of at least ``similarity``.
 
     Null ids are left out. Null, empty and short texts (fewer than ``min_words`` distinct words)
-    belong to no class. If an id comes more than once, its row first by ``order_col`` counts, then
-    the one with the least set key (any row if all are equal). An empty table gives two empty
-    results. Other columns of ``df`` are never read.
+    belong to no class; with ``every`` each such id is a class of its own without links. If an id
+    comes more than once, its row first by ``order_col`` counts, then the one with the least set key
+    (any row if all are equal). An empty table gives two empty results. Other columns of ``df`` are
+    never read.
     """
     sets = word_sets(df, id_col, text_col, order_col, min_words)
-    members = sets.groupBy("id").agg(F.min(F.struct("at", F.isnull("words").alias("none"), "set_key")).alias("m")).where("not m.none").select("id", F.col("m.set_key").alias("class"))
+    members = sets.groupBy("id").agg(F.min(F.struct("at", F.isnull("words").alias("none"), "set_key")).alias("m"))
+    own = F.when(F.col("m.none"), F.xxhash64("id", F.lit(2))).otherwise(F.col("m.set_key")) if every else F.col("m.set_key")
+    members = (members if every else members.where("not m.none")).select("id", own.alias("class"))
     classes = sets.where("words is not null").groupBy("set_key").agg(F.first("words").alias("words"))
 
     n = bands * rows
@@ -115,7 +118,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, *, order_c
 
 
 def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """One row per id that has a class: (id, class, copies, links).
+    """One row per id that has a class, with ``every`` per id: (id, class, copies, links).
 
     ``copies`` counts the ids of the class, ``links`` the ids of other classes linked to it.
     """

@@ -44,7 +44,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_news_classes(spark: SparkSession, d: str) -> DataFrame:
-    return p2.near_duplicate_links(table(spark, d, "news"), "id", "content", order_col="created_at", similarity=0.6, min_words=60)
+    """One row per item, short ones and those without words included."""
+    return p2.near_duplicate_links(table(spark, d, "news"), "id", "content", order_col="created_at", similarity=0.6, every=True)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import p1_similar_vectors as p1
 from lexiflow.llm import p2_near_duplicates as p2
+from lexiflow.llm import queries
 from lexiflow.llm.common import words
 
 VEC = "ID long, embedding array<float>, id2 string, vector string, first string"
@@ -112,3 +113,15 @@ def test_hot_group_of_copies(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(base)).otherwise(F.concat(F.lit(base), F.lit(" x"), (F.col("id") % 7).cast("string"))).alias("content"))
     got = p2.near_duplicate_links(df, "id", "content", similarity=0.8)
     assert got.count() == 3000 and got.where("copies + links <> 3000").count() == 0
+
+
+def test_every_item_has_a_class(spark, tmp_path):
+    bulletin = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"b{i}", bulletin if i % 2 else bulletin + " x", i) for i in range(20)] + [(f"o{i}", " ".join(f"v{i}n{j}" for j in range(20 + i)), i) for i in range(36)]
+    rows += [("null", None, 0), ("none", "", 0), ("marks", "— !", 0), ("one", "слово", 0), ("b1", "later", 9), (None, bulletin, 0)]
+    spark.createDataFrame(rows, "id string, content string, created_at int").write.parquet(f"{tmp_path}/news.parquet")
+    rows_ = queries.p2_news_classes(spark, str(tmp_path)).collect()
+    got = {r.id: (r.copies, r.links) for r in rows_}
+    assert len(rows_) == len(got) == 60
+    assert all(v == ((10, 10) if i[0] == "b" else (1, 0)) for i, v in got.items())
+    assert len({r["class"] for r in rows_}) == 2 + 36 + 4
