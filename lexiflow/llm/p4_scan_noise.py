@@ -36,7 +36,7 @@ NEXT = re.compile(r"^\s*([\w|\\/]+(?:-[\w|\\/]+)*)")
 MARK = ""
 HYPHENS = "-‐­¬"
 #: Where a Cyrillic letter touches a character of another kind.
-TOUCH = re.compile(r"[а-яёіїєґ][a-z0-9|\\_]|[a-z0-9|\\_][а-яёіїєґ]|/i[а-яё]")
+TOUCH = re.compile(r"[а-яёіїєґ][a-z0-9|\\_]|[a-z0-9|\\_][а-яёіїєґ]|/i[а-яёіїєґ]|[а-яёіїєґ]/i(?![a-z0-9])")
 INSIDE = re.compile(r"[\w|\\/]")
 TOKEN = re.compile(r"[\w|\\/]+")
 CYRILLIC, OTHER = re.compile(r"[а-яёА-ЯЁіїєґІЇЄҐ]"), re.compile(r"[A-Za-z0-9|\\]")

@@ -96,6 +96,12 @@ def test_scan_repair(spark):
     assert p4.scan_noise(scan_table(spark).where("false"), "id", "text").collect() == []
 
 
+def test_misread_at_a_word_end(spark):
+    df = spark.createDataFrame([("end", "Крупный капита/i растёт."), ("start", "Крупный /iесной рынок."), ("name", "Покупка Россия/iPhone и и/или прочее.")], "id string, text string")
+    assert {tuple(r) for r in p4.scan_noise(df, "id", "text").collect()} == {("end", "misread"), ("start", "misread")}
+    assert {r.id: r.repaired for r in p4.repaired(df, "id", "text").collect()}["end"] == "Крупный капитал растёт."
+
+
 # p5 ------------------------------------------------------------------------------------------------
 
 
