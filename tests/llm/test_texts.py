@@ -183,6 +183,16 @@ def test_broken_pairs(spark):
     assert got == {}
 
 
+def test_language_model_reads_whole_texts(spark):
+    q, good, foreign = "Завод в городе открыл новую линию.", "Перемены усиливают хозяйственную основу труда и помогают общему делу.", "Les nouvelles machines de la ville changent le travail des ouvriers."
+    french, english = "Les nouvelles machines changent le travail des ouvriers de la ville. ", "The new machines of the town change the work of the people. "
+    rows = [(f"bad{i}", french, english, False, "finished", 0.0) for i in range(8)] + [(f"good{i}", french, foreign, False, "finished", 0.0) for i in range(60)] + [(f"ru{i}", q, good, False, "finished", 0.0) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "pair_id string, question string, answer string, cut boolean, ending string, at_limit double").withColumn("pair_kind", F.lit("t"))
+    head = "12 34 56 78 " * 40
+    labelled = spark.createDataFrame([(head + french * 10, "fr"), (head + english * 10, "en"), (head + good * 10, "ru")], "text string, lang string")
+    assert {(r.pair_id[:3], r.defect) for r in p7.broken_pairs(pairs, labelled).collect()} == {("bad", "language")}
+
+
 # p8 ------------------------------------------------------------------------------------------------
 
 
