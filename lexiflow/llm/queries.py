@@ -61,11 +61,11 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4.scan_noise(table(spark, d, "sections"), "section_id", "section_text").select(F.col("id").alias("section_id"), "noise")
+    return p4.scan_noise(table(spark, d, "sections"), "section_id", "section_text", "volume_id").select(F.col("id").alias("section_id"), "noise")
 
 
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return p4.repaired(table(spark, d, "sections"), "section_id", "section_text")
+    return p4.repaired(table(spark, d, "sections"), "section_id", "section_text", "volume_id")
 
 
 def _news_sources(spark: SparkSession, d: str) -> DataFrame:

@@ -96,6 +96,46 @@ def test_scan_repair(spark):
     assert p4.scan_noise(scan_table(spark).where("false"), "id", "text").collect() == []
 
 
+def volumes(spark, n: int, page):
+    rnd = random.Random(3)
+    line = lambda k: " ".join(rnd.choice("труд капитал власть рынок завод школа кризис бюджет город уезд".split()) for _ in range(k))
+    heads = ["ТЕТРАДЬ " + "".join(rnd.choice("АБВГДЕЖЗИКЛМН") for _ in range(9)) for _ in range(n)]
+    return spark.createDataFrame([(f"{v}_{k}", v, page(line, heads[v], k)) for v in range(n) for k in range(4)], "id string, volume int, text string")
+
+
+@pytest.mark.parametrize(
+    ("page", "noise"),
+    [
+        (lambda line, head, k: f"{line(9)}\n{head}\n{line(9)}.", {"header"}),
+        (lambda line, head, k: f"{line(9)}.\n{head}\n{line(9).capitalize()}.", {"header"}),
+        (lambda line, head, k: f"{line(9)}.\n{head}   {k + 80}\n{line(9).capitalize()}.", {"header", "pageno"}),
+        (lambda line, head, k: f"{line(9)}.\n\n— {k + 80} —\n{head}\n\n{line(9).capitalize()}.", {"header", "pageno"}),
+    ],
+)
+def test_headers_belong_to_volumes(spark, page, noise):
+    """However many volumes there are, each one's header is found."""
+    found = p4.scan_noise(volumes(spark, 90, page), "id", "text", "volume").groupBy("noise").count().collect()
+    assert {r["noise"]: r["count"] for r in found} == dict.fromkeys(noise, 360)
+
+
+def test_numbers_and_lines_of_clean_text_stay(spark):
+    table = "Таблица годов.\n1905\nурожай 12\n1906\nурожай 14\nКонец таблицы."
+    account = "Счёт уезда за год составлен верно.\n1905\n1906\nПриход 300\n12\nРасход 200\nИтого 500"
+    copies = "Сегодня утром встретил его\nВладимир Петрович Сомов\nсказал и ушёл домой."
+    rows = [("table", 1, table), ("account", 1, account), *[(f"copy{i}", 2, copies) for i in range(5)], ("null", None, None), ("empty", 1, "")]
+    df = spark.createDataFrame(rows, "id string, volume int, text string").withColumn("lines", F.lit(0))
+    assert p4.scan_noise(df, "id", "text", "volume").collect() == []
+    assert all(r.repaired == r.text for r in p4.repaired(df, "id", "text", "volume").collect())
+
+
+def test_page_numbers_rise():
+    page = ["Первая мысль автора верна.", "Вторая мысль автора верна.", "Третья мысль автора верна.", "Четвёртая мысль автора верна."]
+    lines = [*page, "17", *page, "18", *page]
+    assert p4.page_numbers(lines) == {4, 9}
+    assert p4.page_numbers([*page, "17", *page, "45", *page]) == set()
+    assert p4.page_numbers(["Начало фразы", "17", "и её конец."]) == {1}
+
+
 def test_misread_at_a_word_end(spark):
     df = spark.createDataFrame([("end", "Крупный капита/i растёт."), ("start", "Крупный /iесной рынок."), ("name", "Покупка Россия/iPhone и и/или прочее.")], "id string, text string")
     assert {tuple(r) for r in p4.scan_noise(df, "id", "text").collect()} == {("end", "misread"), ("start", "misread")}
