@@ -43,12 +43,12 @@ def piece_regex(room: int) -> str:
     A blank line in the last half of the room is preferred to a later sentence end; an earlier
     blank line is one more boundary beside the sentence ends.
     """
-    half, blank, end = room // 2, rf"(?={BLANK_LINE})", rf"{sentence_end()}(?=\s|\z)"
+    half, blank, end = room // 2, rf"(?={BLANK_LINE})", rf"(?=\s|\z)(?<={sentence_end()})"
     return (
         r"(?isu)\G(?:"
         rf".{{1,{room}}}\z"
-        rf"|.{{{half},{room - 8}}}{blank}"
-        rf"|.{{1,{room - 8}}}(?:{blank}|{end})"
+        rf"|.{{{half},{room}}}{blank}"
+        rf"|.{{1,{room}}}(?:{blank}|{end})"
         rf"|.{{{half},{room}}}(?=\n)"
         rf"|.{{{half},{room}}}(?=\s)"
         rf"|.{{{room}}})"
