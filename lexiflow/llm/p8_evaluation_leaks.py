@@ -6,12 +6,15 @@ after each word the state gives the longest run ending there that some item also
 marked part reaches ``min_cover``. The same pass gives the spans of the document to be removed.
 
 Items are the bounded, stated set here: they are taken in blocks of at most ``block_words`` words,
-one automaton (some 2 states a word) per block, each broadcast on its own.
+one automaton per block, each broadcast on its own. Its size is bounded with the block: some two states a
+word, most of them with one follower, which takes twelve bytes in arrays; only branching states have a
+dictionary. The result is the same for any block size.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,13 +23,16 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm.common import WORD, col, spread, words, words_of
 
-MIN_RUN, MIN_COVER, BLOCK_WORDS = 8, 0.4, 1_000_000
+MIN_RUN, MIN_COVER, BLOCK_WORDS = 8, 0.4, 200_000
 
 
 class SuffixAutomaton:
-    """Over the words of several items; parted by starting each item at the root again."""
+    """Over the words of several items; parted by starting each item at the root again.
 
-    def __init__(self, items: list[tuple[object, list[str]]]):
+    End positions are kept for states that hold runs of ``least`` words or more.
+    """
+
+    def __init__(self, items: list[tuple[object, list[str]]], least: int = 1):
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.sizes = [len(w) for _, w in items]
@@ -41,7 +47,17 @@ class SuffixAutomaton:
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
                 own[self.link[state]].extend(own[state])
-        self.ends = [tuple(set(x)) if n >= 2 else () for x, n in zip(own, self.length)]
+        self.ends = {state: tuple(set(x)) for state, (x, n) in enumerate(zip(own, self.length)) if x and n >= least}
+        # States with one follower, nearly all, in arrays; the others in dictionaries.
+        self.only, self.goto = array("i", [-1]) * len(self.next), array("i", [-1]) * len(self.next)
+        self.many: dict[int, dict[int, int]] = {}
+        for state, follow in enumerate(self.next):
+            if len(follow) == 1:
+                ((self.only[state], self.goto[state]),) = follow.items()
+            elif follow:
+                self.many[state] = follow
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        del self.next
 
     def _state(self, length: int, own: list) -> int:
         self.next.append({})
@@ -74,16 +90,16 @@ class SuffixAutomaton:
 
     def runs(self, tokens: list[str], least: int) -> Iterator[tuple[int, int, int]]:
         """(place of the run's last word, its length, state), for every word that ends a run of ``least`` or more."""
-        follow, link, length, state, n = self.next, self.link, self.length, 0, 0
+        only, goto, many, link, length, none, state, n = self.only, self.goto, self.many, self.link, self.length, {}, 0, 0
         for at, c in enumerate(map(self.vocabulary.get, tokens)):
             if c is None:
                 state = n = 0
                 continue
-            while state and c not in follow[state]:
+            while (to := goto[state] if only[state] == c else many.get(state, none).get(c)) is None and state:
                 state = link[state]
                 n = length[state]
-            if (to := follow[state].get(c)) is None:
-                state = n = 0
+            if to is None:
+                n = 0
                 continue
             state, n = to, n + 1
             if n >= least:
@@ -99,7 +115,7 @@ class SuffixAutomaton:
                 first = min(first, spans.pop()[0])
             spans.append((first, at))
             while state > 0 and n >= least:
-                for item, end in self.ends[state]:
+                for item, end in self.ends.get(state, ()):
                     marks.setdefault(item, set()).update(range(end - n + 1, end + 1))
                 state = self.link[state]
                 n = self.length[state]
@@ -127,7 +143,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     schema = f"doc_id {id_type}, item_id {item_type}, cover double, longest_run int"
     parts = []
     for block in _item_blocks(items, item_id, item_text, block_words):
-        automaton = SuffixAutomaton([(r["item_id"], w) for r in block.orderBy("item_id").toLocalIterator() if len(w := words(r["text"])) >= min_run])
+        automaton = SuffixAutomaton([(r["item_id"], w) for r in block.orderBy("item_id").toLocalIterator() if len(w := words(r["text"])) >= min_run], min_run)
         shared = spark.sparkContext.broadcast(automaton)
 
         def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -155,28 +171,46 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, *, min_run: int = MIN_RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text, removed_words): every row with its spans of ``min_run`` or more item words cut out.
 
-    Null and untouched texts come out as they are with 0 removed words. With several item blocks
-    the cuts are made one block after another.
+    The spans of all item blocks are found in the text as it is, united, and cut at once, so the
+    block size changes nothing. Null and untouched texts come out as they are with 0 removed words.
     """
     spark = docs.sparkSession
-    out = spread(docs.select(col(doc_id).alias("doc_id"), col(doc_text).alias("text"))).withColumn("removed_words", F.lit(0))
+    base = spread(docs.select(col(doc_id).alias("doc_id"), col(doc_text).alias("text")))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    out = base.withColumn("spans", F.array().cast("array<int>"))
     for block in _item_blocks(items, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton([(r["item_id"], w) for r in block.orderBy("item_id").toLocalIterator() if len(w := words(r["text"])) >= min_run]))
+        shared = spark.sparkContext.broadcast(SuffixAutomaton([(r["item_id"], w) for r in block.orderBy("item_id").toLocalIterator() if len(w := words(r["text"])) >= min_run], min_run))
 
-        def cut(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def look(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
-                texts, removed = [], []
-                for text, before in zip(b["text"], b["removed_words"]):
-                    n = 0
-                    if isinstance(text, str):
-                        places = [m.span() for m in WORD.finditer(text)]
-                        _, spans = shared.value.covered([text[i:j].lower().replace("ё", "е") for i, j in places], min_run)
-                        for first, last in reversed(spans):
-                            text = text[: places[first][0]] + text[places[last][1] :]
-                            n += last - first + 1
-                    texts.append(text if isinstance(text, str) else None)
-                    removed.append(int(before) + n)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts, "removed_words": removed})
-
-        out = out.mapInPandas(cut, f"doc_id {docs.select(col(doc_id)).schema[0].dataType.simpleString()}, text string, removed_words int")
+                spans = [[*before, *(p for span in shared.value.covered([m.group().lower().replace("ё", "е") for m in WORD.finditer(text)], min_run)[1] for p in span)] if isinstance(text, str) else [] for text, before in zip(b["text"], b["spans"])]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "spans": spans})
+
+        out = out.mapInPandas(look, f"doc_id {kind}, text string, spans array<int>")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, removed = [], []
+            for text, flat in zip(b["text"], b["spans"]):
+                n = 0
+                if len(flat):
+                    places = [m.span() for m in WORD.finditer(text)]
+                    for first, last in reversed(_united(zip(flat[::2], flat[1::2]))):
+                        text = text[: places[first][0]] + text[places[last][1] :]
+                        n += last - first + 1
+                texts.append(text if isinstance(text, str) else None)
+                removed.append(n)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts, "removed_words": removed})
+
+    return out.mapInPandas(cut, f"doc_id {kind}, text string, removed_words int")
+
+
+def _united(spans) -> list[list[int]]:
+    """Spans (first, last) in order, those that touch or overlap as one."""
+    out: list[list[int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
     return out
