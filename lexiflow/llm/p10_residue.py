@@ -6,9 +6,12 @@ that a kind covers highly *is* such a message; prose that merely quotes or menti
 little and stays. Filler is also told by its form (one word again and again, keyboard rows, mock
 Latin without function words), and placeholders by their delimiters.
 
+Placeholders are found by the same automaton: it holds the marks that open a field, and at each of
+them the forms of unfilled fields are tried.
+
 A document gets the kind with the most matched letters, and ``coverage``: the residue's part of all
-its letters. Residue at high coverage means a document to be excluded; at low coverage it stands
-within content.
+its letters. ``without_residue`` leaves out the documents that are residue for the better part and
+marks those in which it stands within content.
 """
 
 from __future__ import annotations
@@ -76,7 +79,8 @@ PLACEHOLDER = re.compile(
     rf"|(?:<|&lt;)\?(?!(?i:xml))(?:=|php\b)?\s*(?:echo\s+)?\$?[^\W\d](?:[^?<\n]|\?(?!>|&gt;))*\?(?:>|&gt;)"
     rf"|(?<!_)_{{3,}}+[ \t]*\([ \t]*[^\W\d_][^()\n]*\)|(?<!\w)__(?!name__)(?:[^\W\d_]+[._])*(?:{FIELDS}|{FIELDS.upper()})__(?!\w|\s*=)",
 )
-OPENERS = ("{", "<%", "[[", "@@", "%(", "%", "&lt;", "<", "[", "__")
+#: What a field may start with.
+OPENERS = ("{", "$", "#", "%", "@@", "<", "&lt;", "[", "__")
 AGAIN = re.compile(r"(?<!\w)([^\W\d]\w+)(?:\W+\1){4,}(?!\w)")
 CUT = re.compile(r"(?<=[.!?…])[»”\"')\]]*\s+|\n+|</?[a-z]+>")
 LETTERS = re.compile(r"[^\W\d_]")
@@ -93,6 +97,8 @@ def _automaton() -> ahocorasick.Automaton:
         entries.setdefault(p, []).append(("keyboard", True))
     for p in MOCK_LATIN.split("|"):
         entries.setdefault(p, []).append(("mock", True))
+    for p in OPENERS:
+        entries.setdefault(p, []).append(("field", False))
     for p, kinds in entries.items():
         a.add_word(p, (len(p), kinds))
     a.make_automaton()
@@ -111,7 +117,8 @@ class ResidueFinder:
             text = low
         sums: dict[str, int] = {}
         hits = list(self.automaton.iter(low))
-        hits = [(end - n + 1, end + 1, kinds) for end, (n, kinds) in hits if not (low[end - n : end - n + 1].isalpha() and n < 40) and not low[end + 1 : end + 2].isalpha()]
+        fields = sorted(end - n + 1 for end, (n, kinds) in hits if kinds == [("field", False)])
+        hits = [(end - n + 1, end + 1, kinds) for end, (n, kinds) in hits if kinds != [("field", False)] and not (end - n >= 0 and low[end - n].isalpha()) and not low[end + 1 : end + 2].isalpha()]
         if any(core for _, _, kinds in hits for _, core in kinds):
             bounds = [0, *(m.end() for m in CUT.finditer(low)), len(low)]
             at = 0
@@ -124,9 +131,11 @@ class ResidueFinder:
                     self._sentence(low[start:stop], start, own, sums)
         for m in AGAIN.finditer(low):
             sums["filler"] = sums.get("filler", 0) + len(LETTERS.findall(m.group()))
-        if any(o in text for o in OPENERS):
-            for m in PLACEHOLDER.finditer(text):
+        done = 0
+        for start in fields:
+            if start >= done and (m := PLACEHOLDER.match(text, start)):
                 sums["placeholder"] = sums.get("placeholder", 0) + len(LETTERS.findall(m.group()))
+                done = m.end()
         if not sums:
             return None
         kind = max(sums, key=lambda k: (sums[k], k))
@@ -169,3 +178,16 @@ def residue(df: DataFrame, id_col: str, text_col: str, *, coverage: float = 0.6)
                 yield pd.DataFrame({"id": b["id"][keep], "residue": [f[0] for f in found if f], "coverage": [min(1.0, f[1] / max(1, f[2])) for f in found if f]})
 
     return base.mapInPandas(find, f"id {kind}, residue string, coverage double").distinct()
+
+
+def without_residue(df: DataFrame, id_col: str, text_col: str, *, coverage: float = 0.6, exclude_from: float = 0.5) -> DataFrame:
+    """(id, residue, coverage): the texts to keep; residue is null, or the kind that stands within content.
+
+    Left out is a text whose residue covers at least ``exclude_from`` of its letters. Null and empty
+    texts are kept, repeated rows come out once. The texts themselves are not carried.
+    """
+    found = residue(df, id_col, text_col, coverage=coverage).select(F.col("id").alias("found"), "residue", "coverage")
+    per_id = found.groupBy("found").agg(F.max(F.struct("coverage", "residue")).alias("r"))
+    ids = df.select(col(id_col).alias("id")).distinct()
+    rows = ids.join(per_id, F.col("id").eqNullSafe(F.col("found")), "left")
+    return rows.where(F.coalesce(F.col("r.coverage") < exclude_from, F.lit(True))).select("id", "r.residue", F.coalesce("r.coverage", F.lit(0.0)).alias("coverage"))

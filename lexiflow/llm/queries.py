@@ -175,5 +175,10 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("residue").agg(F.count("*").alias("documents"), F.count_if(F.col("coverage") >= 0.5).alias("mostly_residue"))
 
 
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents to keep, with the kind of residue that stands within their content."""
+    return p10.without_residue(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit() and "_" in k and callable(v)}

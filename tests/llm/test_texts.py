@@ -55,6 +55,16 @@ def test_splitting_boundaries_and_edges(spark):
         p3.split_pieces(df, "id", "text", limit=300, overlap=200)
 
 
+def test_splitting_finds_a_boundary_anywhere_in_reach(spark):
+    """Whatever the offset of the only sentence end in the room, the cut is made there."""
+    for mark in (".", "!»", "?”)", "…»”)]"):
+        rows = [(at, "я" * (at - len(mark)) + mark + " " + "я" * 400) for at in (100, 190, 215, *range(218, 221))]
+        df = spark.createDataFrame([*rows, (221, "я" * (221 - len(mark)) + mark + " " + "я" * 400)], "id long, text string")
+        first = {r.id: r for r in p3.split_pieces(df, "id", "text", limit=260, overlap=40).where("piece_no = 0").collect()}
+        assert all(first[at].new_chars == at and not first[at].forced for at, _ in rows)
+        assert first[221].forced and first[221].new_chars == 220
+
+
 # p4 ------------------------------------------------------------------------------------------------
 
 
@@ -327,3 +337,26 @@ def test_fields_of_every_form():
 
 def test_words():
     assert words("Ёлка-2, да_нет: é1") == ["елка", "2", "да", "нет", "é1"] and words(None) == []
+
+
+def test_cutting_leaks_is_the_same_for_any_block_size(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"слово{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=20))) for i in range(12)]
+    rows = []
+    for i in range(40):
+        a, b = (rnd.choice(items)[1].split() for _ in "ab")
+        rows.append((i, " ".join([*rnd.choices(vocabulary, k=5), *a[:4], *b[3:14], *a[4:12], *rnd.choices(vocabulary, k=5)])))
+    docs, held = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, several = ({tuple(r) for r in p8.without_leaks(docs, held, "doc_id", "text", "item_id", "text", block_words=n).collect()} for n in (10_000, 60))
+    assert one == several and sum(r[2] for r in one) > 100
+    whole, parts = ({tuple(r) for r in p8.leaked_items(docs, held, "doc_id", "text", "item_id", "text", block_words=n).collect()} for n in (10_000, 60))
+    assert whole == parts and whole
+
+
+def test_documents_of_residue_are_left_out(spark):
+    prose = "Крестьянское хозяйство медленно раскрывает общественную природу труда. " * 5
+    rows = [(1, "Страница не найдена"), (2, prose + "Страница не найдена."), (3, prose), (4, None), (5, ""), (None, "Lorem ipsum dolor sit amet"), (3, prose), (6, prose + "{{ name }}")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("residue", F.lit("x"))
+    got = {r.id: r.residue for r in p10.without_residue(df, "id", "text").collect()}
+    assert got == {2: "error_page", 3: None, 4: None, 5: None, 6: "placeholder"}
