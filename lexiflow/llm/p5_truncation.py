@@ -6,9 +6,15 @@ a candidate limit treated as censored), and each value gets the posterior of bei
 part of the values at its length that the fitted density does not explain. Limits in words may be
 given with the row (``limit_col``); limits in characters are found as spikes of the source's lengths.
 
-The ending of the text is the other evidence: a finished sentence, a structured last line (signature,
-hashtags, list item, link), dots, or none of them; for dots and structured lines it is asked whether
-the corpus knows the last word as a whole word that may end a sentence or line. The odds multiply.
+The ending of the text is the other evidence, in two parts that are independent of the limits: the mark it
+ends with (a stop, dots, a structured line such as a signature, hashtags, list item or link, an abbreviation,
+nothing at all) and its last word (whether the corpus knows it as a word that sentences or lines end on, as
+one from inside sentences, as a rare one, or not at all). A latent class model joins the three: EM
+estimates, from the counts of (limit, mark, word) over all texts, how often each mark and word comes with cut
+and with whole texts and which part of the texts at a limit, of each level of the censoring posterior, is
+cut. The prior tables are worth ``PRIOR_TEXTS`` texts and only tell which class is which. A
+text that finishes its last sentence is no case even at a limit, so ``finished`` is whole by
+definition, as is ``signed``, a full signature line.
 """
 
 from __future__ import annotations
@@ -27,9 +33,12 @@ NOTHING = "null none nil nan na n a n/a нет ничего пусто undefined
 #: Abbreviations and initials after which something must follow.
 UNFINISHED = r"(?iu)(?:(?<![\p{L}\p{N}])(?:стр|см|им|тов|рис|табл|ср|напр|т\. ?е|vgl|cf|fig|vol|bzw|mr|mrs|dr)|(?<![\p{L}\p{N}])\p{Lu})\.$"
 
-#: Ratios P(ending | cut) / P(ending | whole) of the ending classes, and the odds of a cut off the limits.
-RATIOS = {"finished": 1e-4, "abbreviation": 50.0, "structured": 5e-3, "structured_broken": 200.0, "dots": 0.02, "dots_broken": 300.0, "open": 1e4}
-BASE_ODDS = 0.08
+#: Prior shares of marks and last words among cut and whole texts; the data's own replace them.
+MARKS = {"finished": (0.0, 0.94), "signed": (0.0, 0.01), "open": (0.9, 0.001), "abbreviation": (0.05, 0.001), "dots": (0.04, 0.02), "structured": (0.01, 0.028)}
+LAST_WORDS = {"ends": (0.2, 0.96), "inside": (0.25, 0.015), "rare": (0.1, 0.015), "short": (0.1, 0.005), "unknown": (0.35, 0.005)}
+PRIOR_TEXTS, BASE_SHARE = 100.0, 0.05
+#: Levels of the censoring posterior (upper ends); level 0 is off all limits.
+LEVELS = (0.0, 0.5, 0.8, 0.95, 1.0)
 MIN_SPIKE = 5
 
 
@@ -57,7 +66,7 @@ def ending(text: Column) -> Column:
         | (lined & last.rlike(r"^[—–-]\s*\p{Lu}[\p{L} -]+$"))
     )
     signed = lined & (last.rlike(r"^[—–-]\s*\p{Lu}[\p{L}-]+(?: \p{Lu}\.){2}$") | last.rlike(r"^\([^()]*\)$"))
-    return F.when(signed, "finished").when(dots, "dots").when(stop, "finished").when(structured, "structured").when(text.rlike(UNFINISHED), "abbreviation").otherwise("open")
+    return F.when(signed, "signed").when(dots, "dots").when(stop, "finished").when(structured, "structured").when(text.rlike(UNFINISHED), "abbreviation").otherwise("open")
 
 
 def _tokens(text: Column) -> Column:
@@ -77,7 +86,9 @@ def _fit(values: pd.DataFrame, measure: str) -> list[tuple]:
     if measure == "words":
         candidate = v["declared"].to_numpy(bool)
     else:
-        near = np.array([n[(np.abs(length - L) <= 12) & (length != L)].sum() for L in length]) / 24
+        # Mean count of the 24 lengths around, by running sums over the sorted lengths.
+        sums = np.concatenate([[0.0], np.cumsum(n)])
+        near = (sums[np.searchsorted(length, length + 12, "right")] - sums[np.searchsorted(length, length - 12, "left")] - n) / 24
         candidate = (n >= MIN_SPIKE) & (n >= 4 * np.maximum(near, 0.25)) & (length >= 20)
     # EM: the part of the values at a candidate limit that the density leaves over is censored; their full lengths lie beyond.
     censored = np.where(candidate, n, 0.0)
@@ -116,23 +127,57 @@ def censoring_limits(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("source", "measure", "slot").applyInPandas(fit, "source string, measure string, slot int, limit int, posterior double, censored double")
 
 
+def cut_posteriors(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
+    """``counts`` (level, mark, word, at, n) with the posterior of being cut, by EM over the latent class model.
+
+    At most levels x marks x words rows come in, however many the texts; ``at`` is the mean censoring
+    posterior of the level.
+    """
+    c = counts.reset_index(drop=True)
+    n = c["n"].to_numpy(float)
+    tables = [(c["mark"].map({k: i for i, k in enumerate(MARKS)}).to_numpy(), np.array(list(MARKS.values()))), (c["word"].map({k: i for i, k in enumerate(LAST_WORDS)}).to_numpy(), np.array(list(LAST_WORDS.values())))]
+    level = c["level"].to_numpy(int)
+    start = np.full(len(LEVELS), BASE_SHARE)
+    for k in range(1, len(LEVELS)):
+        if (level == k).any():
+            start[k] = np.average(c["at"].to_numpy(float)[level == k], weights=n[level == k])
+    share, shares = start.copy(), [prior.copy() for _, prior in tables]
+    posterior = np.zeros(len(c))
+    for _ in range(rounds):
+        cut, whole = share[level], 1 - share[level]
+        for (index, _), table in zip(tables, shares):
+            cut, whole = cut * table[index, 0], whole * table[index, 1]
+        posterior = cut / np.maximum(cut + whole, 1e-300)
+        for k in range(len(LEVELS)):
+            at = level == k
+            share[k] = np.clip((start[k] * PRIOR_TEXTS + (n * posterior)[at].sum()) / (PRIOR_TEXTS + n[at].sum()), 1e-4, 0.999)
+        for which, (index, prior) in enumerate(tables):
+            for side, weight in ((0, n * posterior), (1, n * (1 - posterior))):
+                sums = np.bincount(index, weight, len(prior)) + PRIOR_TEXTS * prior[:, side]
+                shares[which][:, side] = sums / sums.sum()
+    return c.assign(posterior=posterior)
+
+
 def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, *, limit_col: str | None = None, vocabulary_from: list[tuple[DataFrame, str]] | None = None) -> DataFrame:
-    """(id, source, text_key, text_length, ending, at_limit, posterior, truncated): one row per distinct (id, text, source).
+    """(id, source, text_key, text_length, mark, last_word, at_limit, posterior, truncated): one row per distinct (id, text, source).
 
-    ``text_key`` is ``xxhash64`` of the text.
+    ``text_key`` is ``xxhash64`` of the text, ``at_limit`` the censoring posterior of its length alone,
+    ``posterior`` that of all evidence; from 0.5 on the text counts as truncated.
 
     ``source_col`` groups the length distributions (null is a group of its own); ``limit_col`` gives
     a declared limit in words. Texts of ``vocabulary_from`` add to the corpus that knows whole words.
-    Null ids, null texts and texts without a word are never truncated (posterior 0, ending
+    Null ids, null texts and texts without a word are never truncated (posterior 0, mark
     ``nothing``); repeated rows come out once. An empty table gives an empty result.
     """
     limit = col(limit_col).cast("int") if limit_col else F.lit(None).cast("int")
     base = spread(df.select(col(id_col).alias("id"), col(text_col).alias("text"), col(source_col).cast("string").alias("source"), limit.alias("slot")))
     bare = base.select("id", "source", "slot", F.xxhash64("text").alias("text_key"), has_words(F.col("text")).alias("some"), F.length("text").alias("chars"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")).alias("words"), stripped(F.col("text")).alias("bare"))
+    # What stands at the end is read from the reversed text, however long it is.
+    back = F.reverse(F.translate(F.col("bare"), "ёЁ", "еЕ"))
     classed = bare.select(
-        "id", "source", "slot", "text_key", "some", "chars", "words", F.when(F.col("some"), ending(F.col("bare"))).otherwise("nothing").alias("ending"),
-        F.lower(F.regexp_extract(F.translate(F.right("bare", F.lit(200)), "ёЁ", "еЕ"), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("last"),
-        F.right("bare", F.lit(200)).rlike(r"#[\p{L}\p{N}_]+[\s,]*$").alias("tagged"), F.right("bare", F.lit(200)).rlike(r"(?:https?://|www\.)\S+$").alias("link"),
+        "id", "source", "slot", "text_key", "some", "chars", "words", F.when(F.col("some"), ending(F.col("bare"))).otherwise("nothing").alias("mark"),
+        F.lower(F.reverse(F.regexp_extract(back, r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++)", 1))).alias("last"),
+        back.rlike(r"^[\s,]*+[\p{L}\p{N}_]++#").alias("tagged"), back.rlike(r"^\S+?(?://:s?ptth|\.www)").alias("link"),
     )
     # Without the texts: written once, read for the lengths, the words to ask about and the judgement.
     rows = checkpointed(classed.distinct())
@@ -147,21 +192,35 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, *, li
     corpus = base.select(F.col("text").alias("t")).where("t is not null")
     for other, name in vocabulary_from or []:
         corpus = corpus.unionAll(other.select(col(name).alias("t")).where("t is not null"))
-    asked = some.where("ending in ('dots', 'structured')").select(F.col("last").alias("word")).distinct()
-    known = checkpointed(corpus.select(F.explode(_tokens(F.col("t"))).alias("k")).select("k.word", "k.ends").groupBy("word").agg(F.count("*").alias("known"), F.count_if("ends").alias("known_ends")).join(asked, "word", "left_semi").withColumnRenamed("word", "last"))
+    asked = some.select(F.col("last").alias("word")).distinct()
+    counted = corpus.select(F.explode(_tokens(F.col("t"))).alias("k")).select("k.word", "k.ends").groupBy("word").agg(F.count("*").alias("known"), F.count_if("ends").alias("known_ends"))
+    # The last words of finished texts end sentences too; each text's own is taken off again below.
+    closing = some.where("mark = 'finished'").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("known"), F.count("*").alias("known_ends"))
+    counted = counted.join(asked, "word", "left_semi").unionAll(closing).groupBy(F.col("word").alias("last")).agg(F.sum("known").alias("known"), F.sum("known_ends").alias("known_ends"))
+    known = checkpointed(counted)
 
     # The three small tables are written, so their sizes are known when the joins are planned.
-    judged = rows.join(known, "last", "left").join(by_chars, F.col("source").eqNullSafe(F.col("s1")) & (F.col("chars") == F.col("l1")), "left").join(by_words, F.col("source").eqNullSafe(F.col("s2")) & (F.col("slot") == F.col("k2")) & (F.col("words") == F.col("l2")), "left")
-    n, e = F.coalesce("known", F.lit(0)), F.coalesce("known_ends", F.lit(0))
-    # Five uses inside sentences and no end in any of them, or hardly any use at all: no word to end on.
-    broken = (n <= 1) | (e < F.col("known") * 0.01) | ((n >= 5) & (e == 0))
-    full = F.when(F.col("ending") == "dots", F.when(broken, "dots_broken").otherwise("dots")).when((F.col("ending") == "structured") & ~F.col("link") & F.when(F.col("tagged"), n <= 1).otherwise(broken), "structured_broken").otherwise(F.col("ending"))
+    joined = rows.join(known, "last", "left").join(by_chars, F.col("source").eqNullSafe(F.col("s1")) & (F.col("chars") == F.col("l1")), "left").join(by_words, F.col("source").eqNullSafe(F.col("s2")) & (F.col("slot") == F.col("k2")) & (F.col("words") == F.col("l2")), "left")
+    own = F.when(F.col("mark") == "finished", 1).otherwise(0)
+    n, e = F.coalesce("known", F.lit(0)) - own, F.coalesce("known_ends", F.lit(0)) - own
+    # A full link or tag ends a line whatever the corpus knows of it; a tag is a word the corpus has elsewhere.
+    word = (
+        F.when((F.col("mark") == "signed") | ((F.col("mark") == "structured") & F.col("link")), "ends")
+        .when((F.col("mark") == "structured") & F.col("tagged"), F.when(n >= 2, "ends").when(n == 1, "rare").otherwise("unknown"))
+        .when(n == 0, "unknown").when(F.length("last") <= 2, "short").when(e >= F.greatest(F.lit(1), n * 0.01), "ends").when(n < 5, "rare").otherwise("inside")
+    )
     at = F.greatest(F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0)))
-    ratio = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v)])
-    judged = judged.withColumn("ending", full).withColumn("at_limit", at)
-    odds = F.when(F.col("at_limit") > 0, F.greatest(F.col("at_limit") / (1 - F.col("at_limit")), F.lit(BASE_ODDS))).otherwise(F.lit(BASE_ODDS)) * F.try_element_at(ratio, F.col("ending"))
-    posterior = F.coalesce(odds / (1 + odds), F.lit(0.0))
-    return judged.select("id", "source", "text_key", F.col("chars").alias("text_length"), "ending", "at_limit", posterior.alias("posterior"), (posterior > 0.5).alias("truncated"))
+    judged = joined.withColumn("last_word", word).withColumn("at_limit", at)
+    level = F.lit(len(LEVELS) - 1)
+    for k in reversed(range(len(LEVELS) - 1)):
+        level = F.when(F.col("at_limit") <= LEVELS[k], k).otherwise(level)
+    judged = judged.withColumn("level", level)
+    # At most 5 x 5 x 5 rows.
+    counts = judged.where("some").groupBy("level", "mark", "last_word").agg(F.avg("at_limit").alias("at"), F.count("*").alias("n")).withColumnRenamed("last_word", "word").toPandas()
+    fitted = {f"{r.level} {r.mark} {r.word}": float(r.posterior) for r in cut_posteriors(counts).itertuples()} if len(counts) else {}
+    table = F.create_map(*[F.lit(x) for kv in fitted.items() for x in kv]) if fitted else F.create_map().cast("map<string,double>")
+    posterior = F.coalesce(F.when(F.col("some"), F.try_element_at(table, F.concat_ws(" ", "level", "mark", "last_word"))), F.lit(0.0))
+    return judged.select("id", "source", "text_key", F.col("chars").alias("text_length"), "mark", "last_word", "at_limit", posterior.alias("posterior"), (posterior > 0.5).alias("truncated"))
 
 
 def truncation_report(judged: DataFrame, by: str = "source") -> DataFrame:

@@ -73,30 +73,28 @@ def _news_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "news").where("id is not null").groupBy("id").agg(F.min_by("source", "created_at").alias("source"))
 
 
-def _judged_analyses(spark: SparkSession, d: str) -> DataFrame:
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Analyses by news source and responses by model, judged together: one corpus, one model of endings."""
     analyses = table(spark, d, "analysis").join(_news_sources(spark, d).withColumnRenamed("id", "news_id"), "news_id", "left")
-    return p5.truncation(analyses, "news_id", "analysis", "source")
-
-
-def _judged_runs(spark: SparkSession, d: str) -> DataFrame:
-    return p5.truncation(table(spark, d, "parameter_results"), "run_id", "response", "model_name", limit_col="max_tokens")
+    a = analyses.where("news_id is not null").select(F.struct(F.lit("analysis").alias("kind"), F.col("news_id").alias("key")).alias("id"), F.col("analysis").alias("text"), "source", F.lit(None).cast("int").alias("most"))
+    runs = table(spark, d, "parameter_results").where("run_id is not null")
+    r = runs.select(F.struct(F.lit("run").alias("kind"), F.col("run_id").cast("string").alias("key")).alias("id"), F.col("response").alias("text"), F.col("model_name").alias("source"), F.col("max_tokens").cast("int").alias("most"))
+    return p5.truncation(a.unionAll(r), "id", "text", "source", limit_col="most")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    analyses = _judged_analyses(spark, d).where("truncated").select(F.lit("analysis").alias("record_kind"), F.col("id").alias("record_id"))
-    runs = _judged_runs(spark, d).where("truncated").select(F.lit("run").alias("record_kind"), F.col("id").cast("string").alias("record_id"))
-    return analyses.unionAll(runs).distinct()
+    return _judged(spark, d).where("truncated").select(F.col("id.kind").alias("record_kind"), F.col("id.key").alias("record_id")).distinct()
 
 
 def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return p5.truncation_report(_judged_analyses(spark, d))
+    return p5.truncation_report(_judged(spark, d).where("id.kind = 'analysis'"))
 
 
 def p5_by_model(spark: SparkSession, d: str) -> DataFrame:
     """Per model and max_tokens: how often its responses are cut."""
-    runs = table(spark, d, "parameter_results").select("run_id", "model_name", "max_tokens").distinct()
-    judged = _judged_runs(spark, d).select(F.col("id").alias("run_id"), "truncated").groupBy("run_id").agg(F.max("truncated").alias("truncated"))
-    shares = runs.join(judged, "run_id").groupBy("model_name", "max_tokens").agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"))
+    runs = table(spark, d, "parameter_results").select(F.col("run_id").cast("string").alias("key"), "model_name", "max_tokens").distinct()
+    judged = _judged(spark, d).where("id.kind = 'run'").groupBy(F.col("id.key").alias("key")).agg(F.max("truncated").alias("truncated"))
+    shares = runs.join(judged, "key").groupBy("model_name", "max_tokens").agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"))
     return shares.withColumn("share", F.round(F.col("truncated") / F.col("texts"), 6))
 
 
@@ -118,12 +116,12 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     news = table(spark, d, "news").where("id is not null")
     first = news.groupBy("id").agg(F.min("created_at").alias("first"))
     asked = news.join(first, "id").where(F.col("created_at").eqNullSafe(F.col("first"))).select("id", F.concat_ws("\n", "title", "content").alias("question"))
-    judged = _judged_analyses(spark, d).select("id", F.col("text_key").alias("judged_key"), F.col("truncated").alias("cut"), "ending", "at_limit")
+    judged = _judged(spark, d).groupBy("id", "text_key").agg(*[F.min(c).alias(c) for c in ("mark", "last_word")], F.max("at_limit").alias("at_limit"))
+    of = lambda kind: judged.where(F.col("id.kind") == kind).select(F.col("id.key").alias("id"), F.col("text_key").alias("judged_key"), "mark", "last_word", "at_limit")
     answers = table(spark, d, "analysis").select(F.col("news_id").alias("id"), F.col("analysis").alias("answer"), F.xxhash64("analysis").alias("key"))
-    a = asked.join(answers, "id").join(judged, "id").where("key = judged_key").select(F.lit("analysis").alias("pair_kind"), F.col("id").alias("pair_id"), "question", "answer", "cut", "ending", "at_limit")
-    runs = table(spark, d, "parameter_results").select(F.col("run_id").alias("id"), F.col("prompt").alias("question"), F.col("response").alias("answer"), F.xxhash64("response").alias("key"))
-    judged = _judged_runs(spark, d).groupBy("id", "text_key").agg(F.max("truncated").alias("cut"), F.max("ending").alias("ending"), F.max("at_limit").alias("at_limit")).withColumnRenamed("text_key", "judged_key")
-    r = runs.join(judged, "id").where("key = judged_key").select(F.lit("run").alias("pair_kind"), F.col("id").cast("string").alias("pair_id"), "question", "answer", "cut", "ending", "at_limit")
+    a = asked.join(answers, "id").join(of("analysis"), "id").where("key = judged_key").select(F.lit("analysis").alias("pair_kind"), F.col("id").alias("pair_id"), "question", "answer", "mark", "last_word", "at_limit")
+    runs = table(spark, d, "parameter_results").select(F.col("run_id").cast("string").alias("id"), F.col("prompt").alias("question"), F.col("response").alias("answer"), F.xxhash64("response").alias("key"))
+    r = runs.join(of("run"), "id").where("key = judged_key").select(F.lit("run").alias("pair_kind"), F.col("id").alias("pair_id"), "question", "answer", "mark", "last_word", "at_limit")
     return a.unionAll(r)
 
 
@@ -131,6 +129,11 @@ def _broken(spark: SparkSession, d: str) -> DataFrame:
     return p7.broken_pairs(_pairs(spark, d), table(spark, d, "documents").select("text", "lang"))
 
 
+def p7_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Per defect: pairs kept, pairs where the label model overrules the first function, cutoff, and the figures on planted pairs."""
+    return p7.agreement(_pairs(spark, d), table(spark, d, "documents").select("text", "lang"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _broken(spark, d).select("pair_kind", "pair_id", "defect")
 
