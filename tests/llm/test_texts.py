@@ -172,6 +172,14 @@ def test_truncation(spark):
     assert p5.truncation(df.where("false"), "id", "text", "source").collect() == []
 
 
+def test_posterior_decides_at_limits():
+    """The same doubtful ending is cut at a limit and whole off the limits, and the shares come from the data."""
+    rows = [(0, "finished", "ends", 0.0, 9000), (4, "finished", "ends", 0.98, 150), (4, "open", "unknown", 0.98, 600), (4, "open", "inside", 0.98, 300), (4, "structured", "rare", 0.98, 30), (0, "structured", "ends", 0.0, 250), (0, "structured", "rare", 0.0, 60)]
+    got = p5.cut_posteriors(p5.pd.DataFrame(rows, columns=["level", "mark", "word", "at", "n"])).set_index(["level", "mark", "word"])["posterior"]
+    assert got[4, "open", "unknown"] > 0.99 and got[0, "finished", "ends"] == got[4, "finished", "ends"] == 0
+    assert got[4, "structured", "rare"] > 0.5 > got[0, "structured", "rare"]
+
+
 def test_declared_limits(spark):
     df = spark.createDataFrame([(i, " ".join(["слово"] * (20 if i % 2 else 5 + i % 9)), "m", 20) for i in range(200)], "id long, text string, source string, most int")
     rows = p5.truncation(df, "id", "text", "source", limit_col="most")
@@ -224,9 +232,9 @@ def test_broken_pairs(spark):
     good = "Перемены усиливают хозяйственную основу труда и помогают общему делу."
     kinds = {"empty": ["", None, "—", "N/A", "<br/>"], "refusal": ["К сожалению, я не могу ответить на такой запрос.", "Я воздержусь от оценки этого сообщения. Уточните формулировку."], "copy": [q, q.upper(), "Вопрос: " + q], "language": ["It is said that older markets of the towns follow the workers."], "truncated": ["Перемены усиливают хозяйственную осн"]}
     sound = [good, "Невозможно ответить на вопрос о деле, не назвав общую причину труда.", "В сообщении сказано: «Завод в городе», и за этим стоит общее дело труда."]
-    rows = [(f"{k}{i}{n}", q, a, k == "truncated", "open" if k == "truncated" else "finished" if a and a[-1:] == "." else "nothing", 0.0) for k, v in kinds.items() for i, a in enumerate(v) for n in range(8)]
-    rows += [(f"good{i}{n}", q, a, False, "finished", 0.0) for i, a in enumerate(sound) for n in range(60)] + [("noq", None, good, False, "finished", 0.0)]
-    pairs = spark.createDataFrame(rows, "pair_id string, question string, answer string, cut boolean, ending string, at_limit double").withColumn("pair_kind", F.lit("t"))
+    rows = [(f"{k}{i}{n}", q, a, "open" if k == "truncated" else "finished" if a and a[-1:] == "." else "nothing", "unknown" if k == "truncated" else "ends", 0.0) for k, v in kinds.items() for i, a in enumerate(v) for n in range(8)]
+    rows += [(f"good{i}{n}", q, a, "finished", "ends", 0.0) for i, a in enumerate(sound) for n in range(60)] + [("noq", None, good, "finished", "ends", 0.0)]
+    pairs = spark.createDataFrame(rows, "pair_id string, question string, answer string, mark string, last_word string, at_limit double").withColumn("pair_kind", F.lit("t"))
     labelled = spark.createDataFrame([("Перемены усиливают хозяйственную основу труда и помогают делу. " * 10, "ru"), ("It is said that markets of the towns follow older workers. " * 10, "en"), (None, "ru"), ("x", None)], "text string, lang string")
     got = {r.pair_id: r.defect for r in p7.broken_pairs(pairs, labelled).collect()}
     assert all(got.pop(r[0], None) == re.match(r"[a-z]+", r[0])[0] for r in rows if not r[0].startswith(("good", "noq")))
@@ -236,8 +244,8 @@ def test_broken_pairs(spark):
 def test_language_model_reads_whole_texts(spark):
     q, good, foreign = "Завод в городе открыл новую линию.", "Перемены усиливают хозяйственную основу труда и помогают общему делу.", "Les nouvelles machines de la ville changent le travail des ouvriers."
     french, english = "Les nouvelles machines changent le travail des ouvriers de la ville. ", "The new machines of the town change the work of the people. "
-    rows = [(f"bad{i}", french, english, False, "finished", 0.0) for i in range(8)] + [(f"good{i}", french, foreign, False, "finished", 0.0) for i in range(60)] + [(f"ru{i}", q, good, False, "finished", 0.0) for i in range(60)]
-    pairs = spark.createDataFrame(rows, "pair_id string, question string, answer string, cut boolean, ending string, at_limit double").withColumn("pair_kind", F.lit("t"))
+    rows = [(f"bad{i}", french, english, "finished", "ends", 0.0) for i in range(8)] + [(f"good{i}", french, foreign, "finished", "ends", 0.0) for i in range(60)] + [(f"ru{i}", q, good, "finished", "ends", 0.0) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "pair_id string, question string, answer string, mark string, last_word string, at_limit double").withColumn("pair_kind", F.lit("t"))
     head = "12 34 56 78 " * 40
     labelled = spark.createDataFrame([(head + french * 10, "fr"), (head + english * 10, "en"), (head + good * 10, "ru")], "text string, lang string")
     assert {(r.pair_id[:3], r.defect) for r in p7.broken_pairs(pairs, labelled).collect()} == {("bad", "language")}
