@@ -57,28 +57,30 @@ def boilerplate_blocks(df: DataFrame, id_col: str, text_col: str, source_col: st
     counts as an item of its source); repeated rows of an id count once. ``sample`` is the least of
     the line's spellings. An empty table gives an empty result.
     """
-    return _blocks(df, id_col, text_col, source_col, min_items, min_share)
+    lines = _lines(df, id_col, text_col, source_col)
+    return _blocks(checkpointed(lines.drop("line")), df, id_col, source_col, min_items, min_share, lines)
 
 
-def _blocks(df: DataFrame, id_col: str, text_col: str, source_col: str, min_items: int, min_share: float) -> DataFrame:
-    lines = _lines(df, id_col, text_col, source_col)
+def _blocks(lines: DataFrame, df: DataFrame, id_col: str, source_col: str, min_items: int, min_share: float, sample: DataFrame | None = None) -> DataFrame:
     total = df.select(F.xxhash64(col(id_col)).alias("item"), col(id_col).alias("id"), col(source_col).alias("source")).where("id is not null and source is not null").select("source", "item").distinct().groupBy("source").agg(F.count("*").alias("total"))
     counted = lines.select("source", "node", F.xxhash64("id").alias("item")).distinct().groupBy("source", "node").agg(F.count("*").alias("items"))
     # Written, as the next steps read them three times, and so that their size is known when joins are planned:
     # a source has at most mean lines per item / min_share nodes.
     nodes = checkpointed(counted.where(F.col("items") >= min_items).join(total, "source").where(F.col("items") >= F.col("total") * min_share - 1e-9).select("source", "node", "items"))
     ends = nodes.select("source", "node")
-    samples = lines.join(nodes, ["source", "node"]).groupBy("source", "node").agg(F.first("items").alias("items"), F.min("line").alias("sample"))
+    samples = nodes.withColumn("sample", F.lit(None).cast("string")) if sample is None else sample.join(nodes, ["source", "node"]).groupBy("source", "node").agg(F.first("items").alias("items"), F.min("line").alias("sample"))
     edges = lines.where("after is not null").join(ends, ["source", "node"], "left_semi").join(ends.withColumnRenamed("node", "after"), ["source", "after"], "left_semi").select("source", "node", "after", F.xxhash64("id").alias("item"))
     heavy = edges.distinct().groupBy("source", "node", "after").agg(F.count("*").alias("items")).where(F.col("items") >= min_items).groupBy("source", "node").agg(F.collect_list("after").alias("edges"))
     graph = samples.join(heavy, ["source", "node"], "left")
     return checkpointed(graph.groupBy("source").applyInPandas(_components, "source string, node long, block long, items long, sample string"))
 
 
-def repeated_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, **limits) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, *, min_items: int = MIN_ITEMS, min_share: float = MIN_SHARE) -> DataFrame:
     """(id, line_no, source, block): every occurrence of a boilerplate line; line_no counts from 0, blank lines included."""
-    blocks = boilerplate_blocks(df, id_col, text_col, source_col, **limits).select("source", "node", "block")
-    return _lines(df, id_col, text_col, source_col).join(blocks, ["source", "node"]).select("id", "line_no", "source", "block").distinct()
+    # Texts are split once; written are hashes of the lines.
+    lines = checkpointed(_lines(df, id_col, text_col, source_col).drop("line"))
+    blocks = _blocks(lines, df, id_col, source_col, min_items, min_share).select("source", "node", "block")
+    return lines.join(blocks, ["source", "node"]).select("id", "line_no", "source", "block").distinct()
 
 
 def without_repeated_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, **limits) -> DataFrame:
