@@ -9,6 +9,10 @@ a block are verified by the Hamming distance of a 184-bit sketch (one bit per mi
 threshold lies 3.5 standard deviations beyond the distance expected at the wanted similarity, and
 then exactly on the two sets.
 
+Both steps use the one fingerprint: the sketch is its values reduced to a bit each. The pigeonhole bound
+as such holds for pairs that differ in fewer than ``bands`` places; for the others, down to the wanted
+similarity, the probability above takes its place.
+
 Texts with the same word set are one class, so copies cost nothing beyond the first; blocks join
 on 64-bit keys with only the sketch beside them. No block is capped: a block shared by very many
 classes is split by adaptive skew handling of the sort-merge join.
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import col, spread, words_of
 
 BANDS, ROWS, SKETCH_BITS = 48, 4, 184
+PARTITION_BYTES, MOST_PARTITIONS = 16_000_000, 20_000
 
 
 def hamming_limit(similarity: float, bits: int = SKETCH_BITS, sigmas: float = 3.5) -> int:
@@ -102,7 +107,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, *, order_c
             yield pd.DataFrame({"set_key": b["set_key"], **{f"s{k}": x.view(np.int64) for k, x in enumerate(sketch)}, "blocks": list(keys.T.view(np.int64))})
 
     prints = classes.mapInPandas(blocks, "set_key long, s0 long, s1 long, s2 long, blocks array<long>")
-    side = prints.select("set_key", "s0", "s1", "s2", F.explode("blocks").alias("block"))
+    # Partitions follow the exploded rows (at most one class a row of the table), of some 48 bytes each.
+    rows_out = df.count() * bands
+    partitions = max(1, math.ceil(rows_out * 48 / max(PARTITION_BYTES, rows_out * 48 / MOST_PARTITIONS)))
+    side = prints.select("set_key", "s0", "s1", "s2", F.explode("blocks").alias("block")).repartition(partitions, "block")
     a, b = (side.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "s0", "s1", "s2")]) for s in "ab")
     apart = [F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b")) for k in range(3)]
     distance = F.bit_count(apart[0]) + F.bit_count(apart[1]) + F.bit_count(F.shiftleft(apart[2], 8))
