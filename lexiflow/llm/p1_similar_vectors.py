@@ -3,9 +3,11 @@
 A vector is approximated by the sum of one word from each of several full-dimensional codebooks.
 The codebooks are trained on a bounded sample: k-means on the residuals of the levels before, then
 a joint least-squares update of all codebooks for the sample's codes. Every row is encoded by beam
-search over the residuals and keeps the norm of its approximation. The first code is the row's
-inverted list; the others are scored by lookup tables, one table of dot products for each query and
-codebook, and the best of each list are reranked by the exact cosine.
+search over the residuals and keeps the norm of its approximation. The first two codes together are
+the row's inverted list. The two books have as many words each as give lists of ``LIST_ROWS`` rows on
+average, so the number of lists grows with the rows and the work of a query, a fixed number of lists of constant
+length, does not. The rows of a list are scored by lookup tables, one table of dot products for
+each query and codebook, and the best of each list are reranked by the exact cosine.
 
 Exact copies form one class that is searched once. Lists are cut into chunks and their queries into
 blocks of bounded size, so a crowded direction becomes many tasks and none of them large.
@@ -13,6 +15,7 @@ blocks of bounded size, so a crowded direction becomes many tasks and none of th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm.common import bounded_sample, checkpointed, col, spread
 
-SAMPLE_ROWS, LEVELS, WORDS, BEAM, CHUNK = 20_000, 6, 256, 4, 4096
+SAMPLE_ROWS, LEVELS, WORDS, BEAM, CHUNK = 20_000, 6, 256, 4, 2048
+#: Mean rows of a list, lists that a query visits, first words whose lists are compared.
+LIST_ROWS, PROBES, FIRST_WORDS = 256, 12, 16
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -47,8 +52,8 @@ class AdditiveQuantizer:
     def fit(cls, sample: np.ndarray, lists: int, levels: int = LEVELS, words: int = WORDS, beam: int = BEAM, seed: int = 11) -> AdditiveQuantizer:
         rng = np.random.default_rng(seed)
         q = cls([_kmeans(sample, lists, rng)], beam)
-        for _ in range(levels):
-            q.books.append(_kmeans(sample - q.decode(q.encode(sample)), words, rng))
+        for level in range(levels):
+            q.books.append(_kmeans(sample - q.decode(q.encode(sample)), lists if level == 0 else words, rng))
         codes, offsets = q.encode(sample), np.cumsum([0, *(len(b) for b in q.books)])
         places, n = codes + offsets[:-1], offsets[-1]
         gram, right = np.zeros(n * n), np.zeros((n, sample.shape[1]))
@@ -85,13 +90,27 @@ class AdditiveQuantizer:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(book[codes[:, i]] for i, book in enumerate(self.books))
 
-    def probes(self, x: np.ndarray, margin: float | None) -> list[np.ndarray]:
-        """The lists to visit for each row: all, or those not farther than the nearest plus ``margin`` (squared distance)."""
-        if margin is None:
-            return [np.arange(len(self.books[0]))] * len(x)
-        d = (self.books[0] ** 2).sum(1) - 2 * (x @ self.books[0].T)
-        near = d <= d.min(1, keepdims=True) + margin
-        return [np.flatnonzero(r) for r in near]
+    def lists_of(self, codes: np.ndarray) -> np.ndarray:
+        return codes[:, 0] * len(self.books[1]) + codes[:, 1]
+
+    def probes(self, x: np.ndarray, n: int | None) -> np.ndarray:
+        """The ``n`` nearest lists of each row, shape (rows, n), or all lists."""
+        first, second = self.books[0], self.books[1]
+        total = len(first) * len(second)
+        if n is None or n >= total:
+            return np.broadcast_to(np.arange(total), (len(x), total))
+        t = min(len(first), max(FIRST_WORDS, -(-n // len(second))))
+        out = []
+        norms = (first**2).sum(1)[:, None] + (second**2).sum(1) + 2 * (first @ second.T)
+        for part in np.array_split(x, max(1, len(x) // 512)):
+            one, two = part @ first.T, part @ second.T
+            # The first words by the best list they can give.
+            near = np.argpartition((first**2).sum(1) - 2 * one, t - 1, axis=1)[:, :t]
+            far = norms[near] - 2 * np.take_along_axis(one, near, 1)[:, :, None] - 2 * two[:, None, :]
+            best = np.argpartition(far.reshape(len(part), -1), n - 1, axis=1)[:, :n]
+            word, other = np.divmod(best, len(second))
+            out.append(np.take_along_axis(near, word, 1) * len(second) + other)
+        return np.concatenate(out)
 
     def score(self, x: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Approximate cosines, shape (queries, rows), from lookup tables."""
@@ -130,25 +149,28 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vector_col: str, *, k: int = 5, width: int = 64, min_cosine: float = -1.0, queries: DataFrame | None = None, margin: float | None = None, rerank: int = 48, lists: int | None = None, sample_rows: int = SAMPLE_ROWS
+    df: DataFrame, id_col: str, vector_col: str, *, k: int = 5, width: int = 64, min_cosine: float = -1.0, queries: DataFrame | None = None, probes: int | None = PROBES, rerank: int = 96, list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """(id, other, cosine, rank): of each vector the ``k`` most similar others with a cosine of at least ``min_cosine``.
 
     Vectors are filled with zeros or cut to ``width``. Null, all-zero and non-finite vectors and null
     ids take no part. Equal cosines rank by the lesser ``other``; repeated rows of an id count once
     (its least vector). ``queries`` (one column of ids) limits the rows that are looked up, against all rows.
-    ``margin`` tells how much farther than the nearest list (squared distance of unit vectors) a list
-    may be and still be visited; None visits all lists. ``rerank`` of each list chunk are compared exactly.
-    ``sample_rows`` bounds the rows on which the codebooks are trained. Empty tables give an empty result.
+    ``probes`` lists of ``list_rows`` rows on average are visited by each; None visits all lists.
+    ``rerank`` of each list chunk are compared exactly. ``sample_rows`` bounds the rows on which the
+    codebooks are trained. Empty tables give an empty result.
     """
     spark = df.sparkSession
-    vectors = unit_vectors(df, id_col, vector_col, width).groupBy("id").agg(F.min("vector").alias("vector"))
-    classes = vectors.groupBy("vector").agg(F.count("*").alias("n"), F.min("id").alias("first")).select("first", "vector")
-    rows = bounded_sample(classes.select("vector"), sample_rows, df.count(), "vector")
+    # A vector's class is named by 128 bits of its hash, so copies of one vector are never one task's work.
+    named = [F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(1)).alias("h2")]
+    vectors = checkpointed(unit_vectors(df, id_col, vector_col, width).groupBy("id").agg(F.min("vector").alias("vector")).select("id", "vector", *named))
+    classes = vectors.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.min("vector").alias("vector"))
+    n = vectors.select("h1", "h2").distinct().count()
+    rows = bounded_sample(classes.select("vector"), sample_rows, n, "vector")
     if not rows:
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
     sample = np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), np.float32).reshape(-1, width)
-    lists = lists or max(1, min(1024, len(sample) // 20))
+    lists = max(1, min(round(math.sqrt(n / list_rows)), len(sample) // 4))
     shared = spark.sparkContext.broadcast(AdditiveQuantizer.fit(sample, lists, words=min(WORDS, max(1, len(sample) // 4))))
     del rows, sample
 
@@ -159,22 +181,20 @@ def most_similar(
                 x = _matrix(b["vector"], width)
                 codes = q.encode(x)
                 norms = np.maximum(np.linalg.norm(q.decode(codes), axis=1), 1e-6).astype(np.float32)
-                yield pd.DataFrame({"first": b["first"], "vector": b["vector"], "list": codes[:, 0].astype(np.int32), "codes": [r.tobytes() for r in codes.astype(np.uint16)], "norm": norms, "visits": q.probes(x, margin)})
+                yield pd.DataFrame({"first": b["first"], "vector": b["vector"], "list": q.lists_of(codes).astype(np.int32), "codes": [r.tobytes() for r in codes.astype(np.uint16)], "norm": norms, "visits": list(q.probes(x, probes).astype(np.int32))})
 
     # Used four times from here on, so written once to the shared folder.
-    encoded = checkpointed(classes.mapInPandas(encode, "first long, vector binary, list int, codes binary, norm float, visits array<int>"))
-    if queries is not None:
-        wanted = vectors.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi").select("vector").distinct()
-        asked = encoded.join(wanted, "vector", "left_semi")
-    else:
-        asked = encoded
-    counts = {r["list"]: r["n"] for r in encoded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most ``lists`` rows
+    encoded = checkpointed(classes.select("first", "vector").mapInPandas(encode, "first long, vector binary, list int, codes binary, norm float, visits array<int>"))
+    members = vectors.select("id", "h1", "h2").join(classes.select("h1", "h2", "first"), ["h1", "h2"]).select("id", "first")
+    wanted = queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct() if queries is not None else None
+    asked = encoded.join(members.join(wanted, "id", "left_semi").select("first").distinct(), "first", "left_semi") if wanted is not None else encoded
     visits = asked.select("first", "vector", F.explode("visits").alias("list"))
-    asks = {r["list"]: r["n"] for r in visits.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts = spark.createDataFrame([(c, -(-n // CHUNK), -(-asks.get(c, 0) // CHUNK)) for c, n in counts.items()], "list int, chunks int, blocks int").where("blocks > 0")
+    # Chunks and blocks per list: one narrow row each, joined, not collected.
+    sizes = encoded.groupBy("list").agg(F.count("*").alias("n")).join(visits.groupBy("list").agg(F.count("*").alias("asks")), "list")
+    parts = sizes.select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("asks") / CHUNK).cast("int").alias("blocks"))
     chunk, block = F.pmod(F.xxhash64("first"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")
-    stored = encoded.join(F.broadcast(parts), "list").select("list", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"), "first", "vector", "codes", "norm")
-    asking = visits.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), block.alias("block"), F.lit(True).alias("asks"), "first", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
+    stored = encoded.join(parts, "list").select("list", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"), "first", "vector", "codes", "norm")
+    asking = visits.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), block.alias("block"), F.lit(True).alias("asks"), "first", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         q, mine = shared.value, group["asks"].to_numpy()
@@ -202,14 +222,11 @@ def most_similar(
 
     found = stored.unionByName(asking).groupBy("list", "chunk", "block").applyInPandas(search, "first long, other long, cosine double")
     by_class = found.groupBy("first").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k + 1).alias("near"))
-    # Members of a class: its k + 1 least ids are all that can rank among the k most similar.
-    members = vectors.withColumn("first", F.min("id").over(_by("vector")))
+    # Members of a class: its k + 1 least ids are all that can rank among the k most similar; the limit applies before the shuffle.
     least = members.select(F.col("first").alias("other"), "id", F.row_number().over(_by("first").orderBy("id")).alias("at")).where(F.col("at") <= k + 1).groupBy("other").agg(F.collect_list("id").alias("ids"))
     near = by_class.select("first", F.explode("near").alias("x")).select("first", "x.far", "x.other").join(least, "other").select("first", "far", F.explode("ids").alias("other"))
     best = near.groupBy("first").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, k + 1).alias("near"))
-    who = members.select("id", "first")
-    if queries is not None:
-        who = who.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi")
+    who = members if wanted is None else members.join(wanted, "id", "left_semi")
     own = who.join(best, "first").select("id", F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, k).alias("near"))
     return own.select("id", F.posexplode("near").alias("at", "n")).select("id", F.col("n.other").alias("other"), (-F.col("n.far")).alias("cosine"), (F.col("at") + 1).alias("rank"))
 

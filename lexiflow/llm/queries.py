@@ -23,19 +23,15 @@ from lexiflow.llm.sql import oracle_sql  # noqa: F401
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: How much farther than the nearest list a list may lie that holds a vector of cosine 0.9.
-MARGIN = 0.2
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p1.most_similar(table(spark, d, "concept_vectors"), "vec_id", "embedding", min_cosine=0.9, margin=MARGIN)
+    near = p1.most_similar(table(spark, d, "concept_vectors"), "vec_id", "embedding", min_cosine=0.9)
     return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar of every vector whose id is divisible by 50, against all, over all lists."""
+    """The five most similar of every vector whose id is divisible by 50, against all."""
     vectors = table(spark, d, "concept_vectors")
-    return p1.most_similar(vectors, "vec_id", "embedding", queries=vectors.where("vec_id % 50 = 0").select("vec_id"))
+    return p1.most_similar(vectors, "vec_id", "embedding", queries=vectors.where("vec_id % 50 = 0").select("vec_id"), probes=128)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -37,7 +37,7 @@ def brute(x, k):
 
 def test_neighbours_recall_and_exact_scores(spark):
     x = crowd()
-    got = p1.most_similar(table(spark, x), "ID", "embedding", k=5, width=16, lists=20).collect()
+    got = p1.most_similar(table(spark, x), "ID", "embedding", k=5, width=16, list_rows=16).collect()
     want, s = brute(x, 5)
     near = {}
     for r in got:
