@@ -23,6 +23,12 @@ def align_width(a: Column, width: int) -> Column:
     return F.slice(F.concat(a, F.array_repeat(F.lit(0.0).cast("float"), width)), 1, width)
 
 
+def hashed_bag(words: Column, width: int = 64) -> Column:
+    """array<float> of a text's words, each counted at the place its hash gives: a deterministic stand-in for an embedder."""
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+
+
 def is_vector(a: Column) -> Column:
     """Not null, without null, NaN or infinite members, and not all zero."""
     bad = F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

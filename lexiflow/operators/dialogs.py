@@ -19,6 +19,11 @@ def chat_text(system: str, user: Column, answer: Column | None = None) -> Column
     return F.concat(F.lit("<|begin_of_text|>"), turn(F.lit("system"), F.lit(system)), turn(F.lit("user"), user), end)
 
 
+def chatml_text(turns: list[tuple[str, Column]]) -> Column:
+    """The turns in the ChatML format."""
+    return F.concat(*[F.concat(F.lit(f"<|im_start|>{role}\n"), text, F.lit("<|im_end|>\n")) for role, text in turns])
+
+
 def conversation(system: str, user: Column, answer: Column) -> Column:
     """array<struct<role, content>> of three turns."""
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit(system)), ("user", user), ("assistant", answer))])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +15,28 @@ from lexiflow.session import spread
 def find_occurrences(docs: DataFrame, id_col: str, text_col: str, terms: list[str], around: int = 100) -> DataFrame:
     """(id, term, occurrence, start, end, context): non-overlapping hits of each term, case left aside.
 
-    A text is split at the term and the places are running sums of the parts, so all of it stays in
-    the JVM. ``terms`` is a stated, short list and part of the plan. Where lower case changes a
-    text's length, places refer to the lower-case text. Empty terms and null texts have no hits.
+    One pass over a text per term, linear in its length. ``terms`` is a stated, short list. Where lower
+    case changes a text's length, places refer to the lower-case text. Empty terms and null texts have
+    no hits; repeated rows give repeated hits.
     """
-    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumn("low", F.lower("text"))
-    base = base.withColumn("seen", F.when(F.length("low") == F.length("text"), F.col("text")).otherwise(F.col("low")))
-    found = base.select("id", "low", "seen", F.explode(F.array(*[F.lit(t.lower()) for t in terms if t])).alias("term")).where(F.contains("low", F.col("term")))
-    lengths = F.transform(F.split("low", F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E"))), lambda p: F.length(p))
-    starts = F.transform(F.sequence(F.lit(1), F.size("lengths") - 1), lambda i: F.aggregate(F.slice("lengths", F.lit(1), i), F.lit(0), lambda s, n: s + n) + (i - 1) * F.length("term"))
-    hits = found.withColumn("lengths", lengths).select("id", "term", "seen", F.posexplode(starts).alias("occurrence", "start"))
-    end = F.col("start") + F.length("term")
-    first = F.greatest(F.col("start") - around, F.lit(0))
-    return hits.select("id", "term", "occurrence", "start", end.alias("end"), F.substring("seen", first + 1, end + around - first).alias("context"))
+    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).where("text is not null")
+    wanted = [t.lower() for t in terms if t]
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b["id"], b["text"]):
+                low = text.lower()
+                seen = text if len(low) == len(text) else low
+                for term in wanted:
+                    at, n = low.find(term), 0
+                    while at >= 0:
+                        end = at + len(term)
+                        rows.append((key, term, n, at, end, seen[max(0, at - around) : end + around]))
+                        at, n = low.find(term, end), n + 1
+            yield pd.DataFrame(rows, columns=["id", "term", "occurrence", "start", "end", "context"])
+
+    return base.mapInPandas(find, f"id {base.schema['id'].dataType.simpleString()}, term string, occurrence int, start int, end int, context string")
 
 
 def sample_per(rows: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -45,3 +57,10 @@ def shift_index(vectors: DataFrame, originals: DataFrame, least: int = 5) -> Dat
 
 def top_shifted(shift: DataFrame, n: int = 10) -> DataFrame:
     return shift.orderBy(F.desc("transformation_index"), "concept").limit(n)
+
+
+def section_index(sections: DataFrame, id_col: str, concepts_col: str, k: int = 50) -> DataFrame:
+    """(id, section_index): the mean of a section's ``k`` highest concept similarities; sections without concepts are left out."""
+    best = F.slice(F.sort_array(F.transform(concepts_col, lambda c: c["similarity"]), asc=False), 1, k)
+    rows = sections.select(F.col(id_col).alias("id"), best.alias("best")).where(F.size("best") > 0)
+    return rows.select("id", (F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best")).alias("section_index"))

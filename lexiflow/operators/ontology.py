@@ -39,14 +39,15 @@ def sentence_concepts(docs: DataFrame, id_col: str, text_col: str, terms: dict[s
     return rows.select("id", "pos", "sentence", carried.alias("concept"), F.col("own_concept").isNotNull().alias("own")).where("concept is not null")
 
 
-def first_relation(relations: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(concept, source, target, strength): per concept its strongest relation, whichever end it is.
+def first_relation(relations: DataFrame, concepts: DataFrame, position: str | None = None) -> DataFrame:
+    """(concept, source, target, strength): per concept its first relation by ``position``, whichever end it is; without a position the strongest.
 
     Both ends are exploded, so the join is an equi-join; ties go to the lesser source, then target.
     """
-    ends = relations.select("source", "target", "strength", F.explode(F.array_distinct(F.array("source", "target"))).alias("concept"))
-    best = ends.join(concepts.select("concept").distinct(), "concept", "left_semi").groupBy("concept").agg(F.min(F.struct((-F.col("strength")).alias("s"), "source", "target")).alias("b"))
-    return best.select("concept", "b.source", "b.target", (-F.col("b.s")).alias("strength"))
+    place = F.col(position) if position else -F.col("strength")
+    ends = relations.select("source", "target", "strength", place.alias("place"), F.explode(F.array_distinct(F.array("source", "target"))).alias("concept"))
+    best = ends.join(concepts.select("concept").distinct(), "concept", "left_semi").groupBy("concept").agg(F.min(F.struct("place", "source", "target", "strength")).alias("b"))
+    return best.select("concept", "b.source", "b.target", "b.strength")
 
 
 def relation_similarity(source_a: Column, target_a: Column, source_b: Column, target_b: Column) -> Column:

@@ -55,6 +55,23 @@ def bulk_update(stored: DataFrame, new: DataFrame, keys: list[str], order: list)
     return upsert(stored, known.select(*filled), keys, order, keep=tuple(c for c in stored.columns if c not in new.columns))
 
 
+def append(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored and new rows, columns by name."""
+    return stored.unionByName(new.select(*stored.columns))
+
+
+def load_relationship(parents: DataFrame, children: DataFrame, key: str, child_key: str, name: str) -> DataFrame:
+    """Every parent with its child, of which there is one at most, as a struct; null where it has none."""
+    child = children.select(F.col(child_key).alias("_key"), F.struct(*[F.col(c) for c in children.columns if c != child_key]).alias(name))
+    return parents.join(child, parents[key] == child["_key"], "left").drop("_key")
+
+
+def logged(df: DataFrame, log) -> DataFrame:
+    """The same rows; the optimised plan with its literals goes to ``log``."""
+    log(df._jdf.queryExecution().optimizedPlan().toString())
+    return df
+
+
 def update_where(stored: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     return stored.select(*[F.when(condition, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in stored.columns])
 

@@ -9,6 +9,8 @@ from lexiflow.functions import lexicon
 from lexiflow.functions import text as T
 from lexiflow.session import spread
 
+#: Length of the id ranges into which a group and year are cut.
+RANGE = 50_000
 SCALARS = ("sentence_length", "lexical_diversity", "word_length", "paragraph_length")
 
 
@@ -58,6 +60,12 @@ def mean_profiles(profile: DataFrame, by: str) -> DataFrame:
     return profile.where(F.col("n_words") > 0).groupBy(by).agg(F.count("*").alias("documents"), *[F.avg(c).alias(c) for c in SCALARS])
 
 
+def mean_shares(shares: DataFrame, by: str) -> DataFrame:
+    """(by, shares): the mean share of every function word in a group, as a map."""
+    means = shares.groupBy(by, "word").agg(F.avg("share").alias("share"))
+    return means.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "share")))).alias("shares"))
+
+
 def style_similarity(a: dict[str, Column], b: dict[str, Column], function_words: Column) -> tuple[Column, Column]:
     """(clamped to 0..1, unclamped) weighted similarity of two profiles."""
     total = function_words * lexicon.FUNCTION_WORD_WEIGHT
@@ -82,12 +90,22 @@ def compare_to(means: DataFrame, shares: DataFrame, by: str, focal) -> DataFrame
 def style_drift(profile: DataFrame, terms: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Each text against the one before it in its group.
 
+    ``order`` is two columns: a coarse one (the year) and a numeric one that tells equals apart (the id).
     (id, by, previous, term_change, new_terms, lost_terms, change of each scalar): ``terms`` has
     (id, terms array). The change of terms is the Jaccard distance, null if both sets are empty.
     """
-    w = Window.partitionBy(by).orderBy(*order)
     rows = profile.where("n_words > 0").join(terms, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
-    rows = rows.withColumn("before", F.lag(F.struct("id", "terms", *SCALARS)).over(w)).where("before is not null")
+    # A group's order is cut into ranges: the text before is in the same range, or the last of the range before, of which there is one row each.
+    own = F.struct("id", "terms", *SCALARS)
+    rows = rows.withColumn("_a", F.col(order[0])).withColumn("_b", F.floor(F.col(order[1]) / RANGE))
+    within = Window.partitionBy(by, "_a", "_b").orderBy(*order)
+    lasts = rows.groupBy(by, "_a", "_b").agg(F.max_by(own, F.struct(*order)).alias("last"))
+    lasts = lasts.withColumn("edge", F.lag("last").over(Window.partitionBy(by).orderBy("_a", "_b"))).drop("last")
+    rows = rows.withColumn("before", F.lag(own).over(within))
+    first = rows.where("before is null").drop("before")
+    same = first[by].eqNullSafe(lasts[by]) & first["_a"].eqNullSafe(lasts["_a"]) & first["_b"].eqNullSafe(lasts["_b"])
+    first = first.join(lasts, same).drop(lasts[by]).drop(lasts["_a"]).drop(lasts["_b"]).withColumnRenamed("edge", "before")
+    rows = rows.where("before is not null").unionByName(first.where("before is not null"))
     both, either = F.size(F.array_intersect("terms", F.col("before.terms"))), F.size(F.array_union("terms", F.col("before.terms")))
     return rows.select(
         "id", by, F.col("before.id").alias("previous"), (1 - F.try_divide(both.cast("double"), either)).alias("term_change"),

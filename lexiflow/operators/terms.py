@@ -2,32 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
 from lexiflow.session import spread
 
+LINK_FACTOR = 1.3
 
-def term_frequencies(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """(id, term, tf): tokens split at hyphens, two letters or more.
 
-    The rows are partitioned by id once; the count and every later window by id reuse that.
-    A null text has no terms, a repeated id adds up.
+def counted_terms(text: Column, **how) -> Column:
+    """array<struct<less, term>>: the terms of a text, two letters or more, most frequent first; less is minus the count.
+
+    Tokens are split at hyphens. They are sorted and counted by their runs within the row, so
+    nothing is shuffled.
+    """
+    toks = F.array_sort(F.filter(F.flatten(F.transform(T.tokens(text, **how), lambda t: F.split(t, "-"))), lambda t: F.length(t) >= 2))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull())
+        return F.transform(starts, lambda b, j: F.struct((b - F.coalesce(F.get(starts, j + 1), F.size(s))).cast("long").alias("less"), F.get(s, b).alias("term")))
+
+    # One lambda argument each for the sorted tokens and the places where runs start, so neither is computed again.
+    return F.array_sort(F.flatten(F.transform(F.array(toks), runs)))
+
+
+def top_terms(docs: DataFrame, id_col: str, text_col: str, n: int, *keep: str, **how) -> DataFrame:
+    """(id, kept columns, term, tf): of each row the ``n`` most frequent terms, equal counts by term.
+
+    Every row is a document of its own. A null text has no terms.
     """
-    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    toks = F.filter(F.flatten(F.transform(T.tokens(F.col("text"), **how), lambda t: F.split(t, "-"))), lambda t: F.length(t) >= 2)
-    return base.select("id", toks.alias("toks")).repartition("id").select("id", F.explode("toks").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    base = spread(docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text")))
+    rows = base.select("id", *keep, F.explode(F.slice(counted_terms(F.col("text"), **how), 1, n)).alias("t"))
+    return rows.select("id", *keep, "t.term", (-F.col("t.less")).alias("tf"))
 
 
-def key_terms(tf: DataFrame, n: int, weights: DataFrame | None = None, linked: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, score, rank): of the ``2 n`` most frequent terms the ``n`` of highest score.
+def key_terms(most: DataFrame, n: int, weights: DataFrame | None = None, linked: DataFrame | None = None) -> DataFrame:
+    """``most`` (id, term, tf and more: the ``2 n`` most frequent terms) cut to the ``n`` of highest score, with score and rank.
 
     The score is the term's weight (``weights``: term, weight; 1 where missing), times 1.3 for a term
-    that ``linked`` holds. Equal frequencies and scores are ordered by term.
+    that ``linked`` (term) holds. Equal scores, up to nine digits, are ordered by term.
     """
-    most = tf.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("tf"), "term"))).where(F.col("place") <= 2 * n).drop("place")
-    most = most.join(weights.select("term", "weight"), "term", "left") if weights is not None else most.withColumn("weight", F.lit(1.0))
-    most = most.join(linked.select("term", F.lit(1.3).alias("factor")).distinct(), "term", "left") if linked is not None else most.withColumn("factor", F.lit(1.0))
-    scored = most.select("id", "term", "tf", (F.coalesce("weight", F.lit(1.0)) * F.coalesce("factor", F.lit(1.0))).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "term"))).where(F.col("rank") <= n)
+    rows = most.join(weights.select("term", "weight"), "term", "left") if weights is not None else most.withColumn("weight", F.lit(1.0))
+    rows = rows.join(linked.select("term", F.lit(LINK_FACTOR).alias("factor")).distinct(), "term", "left") if linked is not None else rows.withColumn("factor", F.lit(1.0))
+    scored = rows.withColumn("score", F.coalesce("weight", F.lit(1.0)) * F.coalesce("factor", F.lit(1.0))).drop("weight", "factor")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "term"))).where(F.col("rank") <= n)
+
+
+def tfidf_svd(docs: DataFrame, id_col: str, text_col: str, k: int = 50, vocabulary: int = 2000) -> DataFrame:
+    """(id, components): the ``k`` components of a truncated SVD of the TF-IDF matrix; null where there are fewer than ``k`` terms.
+
+    The vocabulary is bounded, and so is what the driver holds of the decomposition.
+    """
+    from pyspark.ml.feature import IDF, CountVectorizer
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(T.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens")))
+    counter = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary).fit(rows)
+    if len(counter.vocabulary) < k:
+        return rows.select("id", F.lit(None).cast("array<double>").alias("components"))
+    counted = counter.transform(rows)
+    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted).select("id", "tfidf")
+    axes = RowMatrix(weighted.select("tfidf").rdd.map(lambda r: Vectors.fromML(r[0]))).computeSVD(k).V.toArray()
+
+    def project(batches):
+        for b in batches:
+            yield b.assign(components=[(axes[list(i)].T @ list(v)).tolist() if len(i) else [0.0] * k for i, v in zip(b["at"], b["values"])])[["id", "components"]]
+
+    from pyspark.ml.functions import vector_to_array
+
+    dense = weighted.select("id", vector_to_array("tfidf").alias("x"))
+    sparse = dense.select("id", F.transform(F.filter(F.transform("x", lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull()), lambda i: i).alias("at"), F.filter("x", lambda v: v != 0).alias("values"))
+    return sparse.mapInPandas(project, f"id {rows.schema['id'].dataType.simpleString()}, components array<double>")

@@ -18,6 +18,7 @@ from lexiflow.functions import vectors as V
 from lexiflow.operators import chunking, dialogs, evolution, network, occurrences, ontology, profile, retrieval, store, stylometry, sweep, terms
 from lexiflow.plans import sql as S
 from lexiflow.session import ensure_checkpoint_dir
+from lexiflow.sources import readers, sinks
 
 FOCAL = "fond_polozov"
 NEEDLES = ["труд", "капитал", "ошибк"]
@@ -132,7 +133,7 @@ def markup(spark, d):
 
 @query()
 def notes_restored(spark, d):
-    rows = chunking.restore_notes(read(spark, d, "documents").where("document_type = 'notebook'"), "doc_id", "text", ["Зотречых", "Древлянян"], ["NB", "Заметка", "Примечание"])
+    rows = chunking.restore_notes(read(spark, d, "documents").where("document_type = 'notebook'"), "doc_id", "text", ["Зотречых", "Древлянян"])
     return rows.withColumnRenamed("id", "doc_id")
 
 
@@ -167,15 +168,31 @@ def url_ids(spark, d):
 # --- terms and style ------------------------------------------------------------------------------
 
 
+def _concept_words(spark, d) -> DataFrame:
+    return read(spark, d, "sections").select(F.explode("top_concepts").alias("c"), F.col("transformation_index").alias("t")).select("c.concept", "t")
+
+
+def _weights(spark, d) -> DataFrame:
+    """(term, weight): the mean transformation index of the sections that name a word in a concept."""
+    return _concept_words(spark, d).where("t is not null").select(F.explode(F.split("concept", " ")).alias("term"), "t").groupBy("term").agg(F.avg("t").alias("weight"))
+
+
+def _relations(spark, d) -> DataFrame:
+    """(concept, source, target, strength): each word's first relation; the two words of a concept are related."""
+    rows = _concept_words(spark, d).where(F.contains("concept", F.lit(" "))).select(F.split_part("concept", F.lit(" "), F.lit(1)).alias("source"), F.split_part("concept", F.lit(" "), F.lit(2)).alias("target")).distinct()
+    rows = rows.withColumn("strength", F.lit(1.0)).withColumn("place", F.concat_ws(" ", "source", "target"))
+    concepts = rows.select(F.explode(F.array("source", "target")).alias("concept"))
+    return ontology.first_relation(rows, concepts, "place")
+
+
 def _terms(spark, d, n: int, *keep: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    found = terms.key_terms(terms.term_frequencies(docs, "doc_id", "text"), n)
-    return found.join(docs.select(F.col("doc_id").alias("id"), *keep), "id") if keep else found
+    most = terms.top_terms(read(spark, d, "documents"), "doc_id", "text", 2 * n, *keep)
+    return terms.key_terms(most, n, _weights(spark, d), _relations(spark, d).select(F.col("concept").alias("term")))
 
 
-@query(f"WITH {S.key_terms(30)} SELECT id AS doc_id, term, tf, score, rank FROM terms")
+@query(f"WITH {S.key_terms(30)} SELECT id AS doc_id, term, tf, round(score, 6) AS score, rank FROM terms")
 def key_terms_top30(spark, d):
-    return _terms(spark, d, 30).select(F.col("id").alias("doc_id"), "term", "tf", "score", big(F.col("rank")).alias("rank"))
+    return _terms(spark, d, 30).select(F.col("id").alias("doc_id"), "term", "tf", F.round("score", 6).alias("score"), big(F.col("rank")).alias("rank"))
 
 
 _MARKS = ("comma", "semicolon", "colon", "dash", "quote", "parenthesis")
@@ -313,16 +330,20 @@ def align_dim(spark, d):
 
 
 _EMB = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
-_PAIRS = f"{_EMB}, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, {S.cosine('a.v', 'b.v')} AS cosine FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {S.cosine('a.v', 'b.v')} > 0.25)"
+_PAIRS = f"""e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+pairs AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, {S.cosine('a.v', 'b.v')} AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {S.cosine('a.v', 'b.v')} > 0.25)"""
 
 
 def _pairs(spark, d) -> DataFrame:
-    return retrieval.pairs_above(retrieval.unit_rows(read(spark, d, "embeddings"), "vec_id", "embedding", 64), 0.25)
+    """Each label is a document whose concepts are its vectors."""
+    rows = read(spark, d, "embeddings")
+    unit = retrieval.unit_rows(rows, "vec_id", "embedding", 64).join(rows.select(F.col("vec_id").alias("id"), F.col("label").alias("group")), "id")
+    return retrieval.related_within(unit, 0.25, "int")
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(cosine, 6) AS cosine FROM pairs")
+@query(f"WITH {_PAIRS} SELECT label, a, b, round(cosine, 6) AS cosine FROM pairs")
 def concept_pairs(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return _pairs(spark, d).select(F.col("group").alias("label"), "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT a AS source, b AS target, round(cosine, 6) AS strength FROM pairs), ends AS (SELECT source, target, strength, unnest([source, target]) AS concept FROM r)
@@ -355,11 +376,13 @@ def rag_context(spark, d):
 # --- network --------------------------------------------------------------------------------------
 
 _COOC = f"""{S.key_terms(8)}, ty AS (SELECT terms.id, term, year FROM terms JOIN documents ON doc_id = id WHERE year IS NOT NULL),
-cooc AS (SELECT a.term AS t1, b.term AS t2, count(*) AS count, min(a.year) AS first_year, max(a.year) AS last_year, list_sort(list(DISTINCT a.year)) AS years, count(*) * (1 + (max(a.year) - min(a.year)) * CAST(0.01 AS DOUBLE)) AS weight FROM ty a JOIN ty b ON a.id = b.id AND a.term < b.term GROUP BY a.term, b.term)"""
+pair AS (SELECT a.term AS t1, b.term AS t2, count(*) AS count, min(a.year) AS first_year, max(a.year) AS last_year, list_sort(list(DISTINCT a.year)) AS years FROM ty a JOIN ty b ON a.id = b.id AND a.term < b.term GROUP BY a.term, b.term),
+cooc AS (SELECT pair.*, count * (1 + (last_year - first_year) * CAST(0.01 AS DOUBLE)) * CASE WHEN x.concept IS NULL OR y.concept IS NULL THEN CAST(1 AS DOUBLE)
+ ELSE 1 + CAST(0.2 AS DOUBLE) * ((x.source = y.source OR x.source = y.target)::INT + (x.target = y.target OR x.target = y.source)::INT) END AS weight FROM pair LEFT JOIN rels x ON x.concept = t1 LEFT JOIN rels y ON y.concept = t2)"""
 
 
 def _cooc(spark, d) -> DataFrame:
-    return network.cooccurrence(_terms(spark, d, 8, "year").where("year is not null"))
+    return network.cooccurrence(_terms(spark, d, 8, "year").where("year is not null"), relations=_relations(spark, d))
 
 
 @query(f"WITH {_COOC} SELECT t1, t2, count, first_year, last_year, round(weight, 6) AS weight FROM cooc")
@@ -380,9 +403,9 @@ def node_degrees(spark, d):
     return network.degrees(_cooc(spark, d)).where("degree > 2")
 
 
-@query(f"WITH {S.key_terms(15, 'source')} SELECT DISTINCT source AS author, term, CAST(1 AS DOUBLE) AS weight FROM terms WHERE source IS NOT NULL")
+@query(f"WITH {S.key_terms(15, 'source')} SELECT DISTINCT source AS author, terms.term, round(coalesce(weight, 1), 6) AS weight FROM terms LEFT JOIN tw ON tw.term = terms.term WHERE source IS NOT NULL")
 def text_concept_edges(spark, d):
-    return network.text_concept_edges(_terms(spark, d, 15, "source").where("source is not null"), "source")
+    return network.text_concept_edges(_terms(spark, d, 15, "source").where("source is not null"), "source", _weights(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
 _FOCAL = f"foc AS (SELECT DISTINCT term FROM terms JOIN documents ON doc_id = id WHERE source = '{FOCAL}')"
@@ -392,12 +415,24 @@ def _focal_terms(spark, d) -> DataFrame:
     return _terms(spark, d, 8, "source").where(F.col("source") == FOCAL).select("term").distinct()
 
 
-@query(f"WITH {_COOC}, {_FOCAL}, ends AS (SELECT t1 AS concept, t2 AS connection, weight, years FROM cooc UNION ALL SELECT t2, t1, weight, years FROM cooc) SELECT concept, row_number() OVER (PARTITION BY concept ORDER BY weight DESC, connection) AS rank, connection, round(weight, 6) AS weight, array_to_string(years, ',') AS years FROM ends WHERE concept IN (FROM foc) QUALIFY rank <= 5")
+@query(f"WITH {_COOC}, {_FOCAL}, ends AS (SELECT t1 AS concept, t2 AS connection, weight, years FROM cooc UNION ALL SELECT t2, t1, weight, years FROM cooc) SELECT concept, row_number() OVER (PARTITION BY concept ORDER BY round(weight, 9) DESC, connection) AS rank, connection, round(weight, 6) AS weight, array_to_string(years, ',') AS years FROM ends WHERE concept IN (FROM foc) QUALIFY rank <= 5")
 def unique_patterns(spark, d):
     rows = network.unique_patterns(_cooc(spark, d), _focal_terms(spark, d))
     return rows.select("concept", big(F.col("rank")).alias("rank"), "connection", F.round("weight", 6).alias("weight"), F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"))
 
 
+@query(f"WITH {S.key_terms(8, 'source')}, n AS (SELECT DISTINCT term FROM terms WHERE source = '{FOCAL}') SELECT term FROM n")
+def focal_neighbours(spark, d):
+    """The neighbours of the focal author's node in the network of texts and concepts."""
+    edges = network.text_concept_edges(_terms(spark, d, 8, "source").where("source is not null"), "source").select(F.col("author").alias("t1"), F.col("term").alias("t2"))
+    return network.neighbours(edges, spark.range(1).select(F.lit(FOCAL).alias("term")))
+
+
+@query(f"WITH {S.key_terms(8)}, {_FOCAL} SELECT foc.term AS concept, round(coalesce(weight, 1), 6) AS transformation, source, target FROM foc LEFT JOIN tw ON tw.term = foc.term LEFT JOIN rels ON rels.concept = foc.term")
+def pattern_ranking(spark, d):
+    return network.patterns_by_shift(_focal_terms(spark, d), _weights(spark, d), _relations(spark, d)).withColumn("transformation", F.round("transformation", 6))
+
+
 @query(f"WITH {_COOC}, {_FOCAL} SELECT t1, t2, round(weight, 6) AS weight FROM cooc WHERE t1 IN (FROM foc) AND t2 IN (FROM foc) AND weight > 1.1")
 def focal_edges(spark, d):
     return network.induced(_cooc(spark, d), _focal_terms(spark, d), 1.1).select("t1", "t2", F.round("weight", 6).alias("weight"))
@@ -410,7 +445,7 @@ def author_nodes(spark, d):
 
 # --- history --------------------------------------------------------------------------------------
 
-_EVENTS = ", ".join(f"({y}, '{e}')" for y, e in lexicon.EVENTS)
+_EVENTS = ", ".join("({}, '{}')".format(y, e.replace("'", "''")) for y, e in lexicon.EVENTS)
 _PERIODS = ", ".join(f"({a}, {b}, '{n}')" for a, b, n in lexicon.PERIODS)
 
 
@@ -594,6 +629,151 @@ def feed_stats(spark, d):
     return profile.date_span(read(spark, d, "news"), "source", "date").withColumn("days", big(F.col("days")))
 
 
+# --- filters, picks, dialogs, round trips ----------------------------------------------------------
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 1000 AS focal, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 500 AS reference FROM documents WHERE text IS NOT NULL")
+def length_filters(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").where("text is not null").select("doc_id", T.long_enough(t, 1000).alias("focal"), T.long_enough(t, 500).alias("reference"))
+
+
+@query(r"WITH c AS (SELECT unnest(concepts) AS c FROM documents UNION ALL SELECT filename[1:4] FROM documents UNION ALL SELECT year::VARCHAR FROM documents) SELECT c AS concept, count(*) AS times FROM c WHERE length(c) BETWEEN 3 AND 50 AND NOT regexp_full_match(c, '\d+') GROUP BY c")
+def concept_filter(spark, d):
+    docs = read(spark, d, "documents")
+    rows = docs.select(F.explode("concepts").alias("c")).unionAll(docs.select(F.left("filename", F.lit(4)))).unionAll(docs.select(F.col("year").cast("string")))
+    return rows.where(T.sane_concept(F.col("c"))).groupBy(F.col("c").alias("concept")).agg(F.count("*").alias("times"))
+
+
+@query(r"SELECT source, count(*) AS items FROM news WHERE regexp_matches(content, '\S') GROUP BY source")
+def messages_with_text(spark, d):
+    return read(spark, d, "news").where(T.has_text(F.col("content"))).groupBy("source").agg(F.count("*").alias("items"))
+
+
+@query(f"WITH n AS (SELECT id, source FROM news WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_ORDER}) = 1), a AS (SELECT news_id, analysis, published FROM analysis QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY created_at, analysis) = 1) SELECT id, source, md5(analysis) AS analysis_md5, published FROM n LEFT JOIN a ON a.news_id = n.id")
+def loaded_relationship(spark, d):
+    items = store.dedupe_first(read(spark, d, "news"), ["id"], _order()).select("id", "source")
+    rows = store.load_relationship(items, store.dedupe_first(read(spark, d, "analysis"), ["news_id"], ["created_at", "analysis"]), "id", "news_id", "loaded")
+    return rows.select("id", "source", F.md5("loaded.analysis").alias("analysis_md5"), "loaded.published")
+
+
+_MARKS_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace('(?iu)', '(?i)')}')) AS mark FROM documents" for k, p in lexicon.STRUCTURE_PATTERNS.items())
+
+
+@query(f"WITH m AS ({_MARKS_SQL}) SELECT doc_id, kind, md5(mark) AS mark_md5, count(*) AS times FROM m GROUP BY ALL")
+def structure_marks(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.explode(T.structure_marks(F.col("text"))).alias("m"))
+    return rows.groupBy("doc_id", F.col("m.kind").alias("kind"), F.md5("m.mark").alias("mark_md5")).agg(F.count("*").alias("times"))
+
+
+_CODES = {"f16": 1, "q4": 2, "q5": 8, "q8": 7}
+
+
+@query("SELECT DISTINCT model_name, CASE split_part(model_name, '-', 3) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CODES.items()) + f" END AS code FROM parameter_results WHERE split_part(model_name, '-', 3) IN ({', '.join(repr(k) for k in _CODES)})")
+def format_codes(spark, d):
+    rows = read(spark, d, "parameter_results").select("model_name", F.split_part("model_name", F.lit("-"), F.lit(3)).alias("part")).where(F.col("part").isin(list(_CODES))).distinct()
+    return rows.select("model_name", T.code_of(F.upper("part"), _CODES).alias("code"))
+
+
+@query("SELECT split_part(model_name, '-', 1) AS family, arg_min(model_name, struct_pack(r := CASE WHEN contains(model_name, 'q4') THEN 0 WHEN contains(model_name, 'f16') THEN 1 ELSE 2 END, s := length(model_name), n := model_name)) AS picked FROM parameter_results WHERE model_name IS NOT NULL GROUP BY ALL")
+def preferred_files(spark, d):
+    rows = read(spark, d, "parameter_results").where("model_name is not null").select("model_name").distinct()
+    rank, size = T.preferred(F.col("model_name"), F.length("model_name"), ["q4", "f16"])
+    return rows.groupBy(F.split_part("model_name", F.lit("-"), F.lit(1)).alias("family")).agg(F.min_by("model_name", F.struct(rank.alias("r"), size.alias("s"), "model_name")).alias("picked"))
+
+
+@query(f"WITH e(y, e) AS (VALUES {', '.join(f"({y}, '{e.replace(chr(39), chr(39) * 2)}')" for y, e in lexicon.EVENTS)}) SELECT doc_id, md5('[' || year || ': ' || coalesce((SELECT string_agg(e, '; ' ORDER BY y, e) FROM e WHERE y <= year), '') || '] ' || left(text, 40)) AS md5 FROM documents WHERE year IS NOT NULL AND text IS NOT NULL")
+def contextual_texts(spark, d):
+    docs = read(spark, d, "documents").where("year is not null and text is not null")
+    known = evolution.events_until(docs, "doc_id", "year").select(F.col("id").alias("doc_id"), "events")
+    return docs.join(known, "doc_id").select("doc_id", F.md5(T.contextual(F.left("text", F.lit(40)), F.col("year"), F.col("events"))).alias("md5"))
+
+
+@query()
+def named_entities(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.explode(T.entities(F.col("text"))).alias("entity"))
+    return rows.groupBy("entity").agg(F.count("*").alias("documents"))
+
+
+@query()
+def hashed_embeddings(spark, d):
+    """The stand-in embedder over all texts."""
+    return read(spark, d, "documents").where("text is not null").select("doc_id", V.hashed_bag(T.tokens(F.col("text"))).alias("embedding"))
+
+
+@query("SELECT section_id, round(list_avg(list_transform(list_slice(list_reverse_sort(list_transform(top_concepts, lambda c: c.similarity)), 1, 50), lambda x: x)), 6) AS section_index FROM sections WHERE len(top_concepts) > 0")
+def section_index(spark, d):
+    return occurrences.section_index(read(spark, d, "sections"), "section_id", "top_concepts", 50).select(F.col("id").alias("section_id"), F.round("section_index", 6).alias("section_index"))
+
+
+@query(f"WITH x AS (SELECT source, {S.words('text')} AS ws FROM documents) SELECT source, f.word, round(avg(len(list_filter(ws, lambda v: v = f.word)) / len(ws)), 6) AS share FROM x, (SELECT unnest({S.quoted(lexicon.FUNCTION_WORDS)}) AS word) f WHERE len(ws) > 0 GROUP BY source, f.word")
+def author_function_words(spark, d):
+    shares = stylometry.mean_shares(stylometry.function_word_shares(read(spark, d, "documents"), "doc_id", "text", "source"), "source")
+    return shares.select("source", F.explode("shares").alias("word", "share")).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH k AS (SELECT volume_id, section_id, section_text FROM sections WHERE volume_id IS NOT NULL AND section_text IS NOT NULL AND len({_REASONS_SQL}) = 0) SELECT volume_id || '_' || row_number() OVER (PARTITION BY volume_id ORDER BY section_id) AS numbered, md5(section_text) AS md5 FROM k")
+def numbered_sections(spark, d):
+    rows = read(spark, d, "sections").where("volume_id is not null and section_text is not null").select(F.col("volume_id").alias("id"), F.col("section_id").alias("part"), F.col("section_text").alias("section"))
+    return chunking.kept_sections(rows).select(F.col("section_id").alias("numbered"), F.md5("section").alias("md5"))
+
+
+@query("SELECT DISTINCT run_id, md5('<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || response || '<|im_end|>' || chr(10)) AS md5 FROM parameter_results WHERE prompt IS NOT NULL AND response IS NOT NULL")
+def chatml(spark, d):
+    rows = read(spark, d, "parameter_results").where("prompt is not null and response is not null")
+    return rows.select("run_id", F.md5(dialogs.chatml_text([("user", F.col("prompt")), ("assistant", F.col("response"))])).alias("md5")).distinct()
+
+
+@query("SELECT DISTINCT run_id, len(list_filter(['труд', 'капитал', 'рынок'], lambda k: contains(lower(response), k)))::BIGINT AS hits, 'assistant' AS last_role FROM parameter_results WHERE prompt IS NOT NULL AND response IS NOT NULL")
+def conversations(spark, d):
+    """Turns of a conversation and the expected keywords in its answer."""
+    rows = read(spark, d, "parameter_results").where("prompt is not null and response is not null")
+    rows = rows.select("run_id", dialogs.conversation(_SYSTEM, F.col("prompt"), F.col("response")).alias("turns"), dialogs.keyword_hits(F.col("response"), F.array(*[F.lit(k) for k in ("Труд", "капитал", "рынок")])).alias("hits"))
+    return rows.select("run_id", big(F.col("hits")).alias("hits"), F.element_at("turns", -1)["role"].alias("last_role")).distinct()
+
+
+def _folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{uuid.uuid4().hex}"
+
+
+@query("SELECT id, source, md5(title) AS title_md5 FROM news")
+def io_json_lines(spark, d):
+    """Written as JSON lines and read back."""
+    path = _folder(spark)
+    sinks.write_json_lines(read(spark, d, "news").select("id", "source", "title"), path)
+    return readers.json_lines(spark, path, "id string, source string, title string").select("id", "source", F.md5("title").alias("title_md5"))
+
+
+@query("SELECT gpu_layers, count(*) AS runs, round(sum(temperature), 4) AS temperature, round(sum(load_time), 4) AS load_time FROM parameter_results GROUP BY gpu_layers")
+def io_csv(spark, d):
+    path = _folder(spark)
+    sinks.write_csv(read(spark, d, "parameter_results").select("run_id", "gpu_layers", "temperature", "load_time"), path)
+    rows = readers.csv_table(spark, path, "run_id bigint, gpu_layers int, temperature double, load_time double")
+    return rows.groupBy("gpu_layers").agg(F.count("*").alias("runs"), F.round(F.sum("temperature"), 4).alias("temperature"), F.round(F.sum("load_time"), 4).alias("load_time"))
+
+
+@query("SELECT section_id, volume_id, year, md5(section_text) AS md5 FROM sections")
+def io_documents(spark, d):
+    """Written as pretty JSON texts without null fields and read by an explicit schema."""
+    path = _folder(spark)
+    sinks.write_document(read(spark, d, "sections").select("section_id", "volume_id", "year", "section_text"), path)
+    rows = readers.json_sequence(spark, path, "section_id string, volume_id int, year double, section_text string")
+    return rows.select("section_id", "volume_id", "year", F.md5("section_text").alias("md5"))
+
+
+@query("SELECT vec_id, kind FROM concept_vectors")
+def io_collection(spark, d):
+    """A vector collection, rebuilt as a whole in partitions by kind."""
+    path = _folder(spark)
+    sinks.write_collection(read(spark, d, "concept_vectors").select("vec_id", "kind", "embedding"), path, "vec_id", "kind")
+    return spark.read.parquet(path).select("vec_id", "kind")
+
+
+@query()
+def tfidf_components(spark, d):
+    return terms.tfidf_svd(read(spark, d, "documents"), "doc_id", "text", 10, 500).withColumnRenamed("id", "doc_id")
+
+
 # --- extensions: plain relational queries over the star schema ------------------------------------
 
 

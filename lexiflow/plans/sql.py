@@ -29,13 +29,21 @@ def squeeze(text: str) -> str:
     return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
 
 
+#: Transformation index and relations of the words of the sections' concepts, which have two words; the first relation by source and target.
+CONTEXT = """wc AS (SELECT unnest(top_concepts).concept AS concept, transformation_index AS t FROM sections WHERE top_concepts IS NOT NULL),
+tw AS (SELECT term, avg(t) AS weight FROM (SELECT unnest(string_split(concept, ' ')) AS term, t FROM wc WHERE t IS NOT NULL) GROUP BY term),
+relation AS (SELECT DISTINCT split_part(concept, ' ', 1) AS source, split_part(concept, ' ', 2) AS target FROM wc WHERE contains(concept, ' ')),
+rels AS (SELECT * FROM (SELECT source, target, unnest(list_distinct([source, target])) AS concept FROM relation) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY source, target) = 1)"""
+
+
 def key_terms(n: int, extra: str = "") -> str:
     """CTEs up to ``terms`` (id, term, tf, score, rank, extra columns of documents)."""
     more = f", {extra}" if extra else ""
-    return f"""tok AS (SELECT doc_id AS id{more}, unnest(list_filter(flatten(list_transform({tokens('text')}, lambda t: string_split(t, '-'))), lambda t: length(t) >= 2)) AS term FROM documents),
+    return f"""{CONTEXT}, tok AS (SELECT doc_id AS id{more}, unnest(list_filter(flatten(list_transform({tokens('text')}, lambda t: string_split(t, '-'))), lambda t: length(t) >= 2)) AS term FROM documents),
 tf AS (SELECT id{more}, term, count(*) AS tf FROM tok GROUP BY ALL),
 most AS (SELECT * FROM tf QUALIFY row_number() OVER (PARTITION BY id ORDER BY tf DESC, term) <= {2 * n}),
-terms AS (SELECT *, CAST(1 AS DOUBLE) AS score, row_number() OVER (PARTITION BY id ORDER BY term) AS rank FROM most QUALIFY rank <= {n})"""
+scored AS (SELECT most.*, coalesce(weight, 1) * CASE WHEN concept IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(1.3 AS DOUBLE) END AS score FROM most LEFT JOIN tw ON tw.term = most.term LEFT JOIN rels ON rels.concept = most.term),
+terms AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, term) AS rank FROM scored QUALIFY rank <= {n})"""
 
 
 def profile(extra: str = "") -> str:

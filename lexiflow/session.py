@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    The cluster's ``spark.checkpoint.dir`` is used as it is. Only where it is unset, as in local
-    tests, a temporary folder is set.
+    The cluster's ``spark.checkpoint.dir`` is used as it is. Only where it is unset and the master is
+    local, as in tests, a temporary folder is set; on a cluster a machine's own folder would not be shared, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = shared or os.path.join(tempfile.gettempdir(), "lexiflow-checkpoints")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -49,12 +49,26 @@ def sniff(content: bytes, sample: int = 50_000) -> str:
     return best if share[best] > 0.3 else "utf-8"
 
 
+def decoded_or_latin(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
+    """(path, text, encoding): files read as UTF-8, and as Latin-1 if they are no valid UTF-8."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "content")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
+    return files.select("path", T.normalise_newlines(text).alias("text"), F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
+
+
 def json_documents(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
     """Whole-file JSON documents by an explicit schema; missing fields take the defaults; unreadable files give rows with ``_corrupt``."""
     rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return rows.fillna(defaults) if defaults else rows
 
 
+def json_sequence(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON texts of any layout parted by record separators; an unreadable text gives a row of nulls."""
+    rows = spark.read.option("lineSep", "\x1e").text(path).where(F.col("value").rlike(r"\S"))
+    return rows.select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, bad: str = "skip") -> DataFrame:
     """One object a line. ``bad`` lines: ``skip`` them, ``keep`` them in ``_corrupt``, or ``fail``."""
     mode = {"skip": "DROPMALFORMED", "keep": "PERMISSIVE", "fail": "FAILFAST"}[bad]

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the record separator of JSON text sequences.
+RECORD = "\x1e"
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Each row as one pretty JSON text; letters outside ASCII are kept."""
-    df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"pretty": "true"}).alias("value")).write.mode(mode).text(path)
+    """Each row as one pretty JSON text behind a record separator (JSON text sequence); letters outside ASCII are kept."""
+    df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"pretty": "true"}).alias("value")).write.mode(mode).option("lineSep", RECORD).text(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,6 +8,7 @@ from the version before it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -40,6 +41,10 @@ class NewsLoop:
     per_cycle: int = 3
     publish_limit: int = 10
     retries: int = 3
+    pause: float = 2.0
+    #: Gets the counters of a cycle that had errors.
+    report: Callable[[dict[str, int]], None] | None = None
+    sleep: Callable[[float], None] = time.sleep
     counters: dict[str, int] = field(default_factory=lambda: dict.fromkeys(COUNTERS, 0))
 
     def _read(self, name: str, schema: str, version: int) -> DataFrame:
@@ -62,6 +67,7 @@ class NewsLoop:
     def cycle(self, batch: DataFrame, number: int) -> None:
         if number <= (before := self.last_version()):
             return
+        self.counters = dict.fromkeys(COUNTERS, 0)
         news, analyses = self._read("news", NEWS, before), self._read("analysis", ANALYSIS, before)
         incoming = batch.select("id", "title", "content", "source", "date", "url").withColumn("processed", F.lit(False)).withColumn("analysed", F.lit(False))
         merged = store.insert_ignore(news, incoming, ["id"], [F.desc("date"), "url"])
@@ -83,17 +89,23 @@ class NewsLoop:
         self.spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
         for key, n in (("fetched", batch.count()), ("processed", len(judged)), ("analysed", sum(bool(j["good"]) for j in judged)), ("published", len(sent)), ("errors", sum(j["error"] is not None for j in judged))):
             self.counters[key] += n
+        if self.report and self.counters["errors"]:
+            self.report(dict(self.counters))
 
     def _send(self, messages: list[dict]) -> list[str]:
-        for _ in range(self.retries):
+        """Ids that were sent. A refused call is repeated after the time the error names (``retry_after``), else after pauses that double."""
+        for n in range(self.retries):
             try:
                 return self.publish(messages) if messages else []
-            except ConnectionError:
-                continue
+            except ConnectionError as e:
+                if n + 1 < self.retries:
+                    self.sleep(getattr(e, "retry_after", None) or self.pause * 2**n)
         self.counters["errors"] += 1
         return []
 
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
-        """Every ``every`` (at least 60 and at most 300 seconds make sense for a feed), or all that is there and then stop."""
+        """Every ``every`` (seconds are kept between 60 and 300), or all that is there and then stop."""
+        if every and not 60 <= float(every.split()[0]) <= 300 and "second" in every:
+            every = f"{min(300, max(60, int(float(every.split()[0]))))} seconds"
         writer = stream.writeStream.foreachBatch(self.cycle).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ def docs(spark, *texts):
 
 
 def test_key_terms_order_and_ties(spark):
-    tf = terms.term_frequencies(docs(spark, "яма яма яма куст куст дом", None, ""), "doc_id", "text")
-    assert {(r.term, r.tf) for r in tf.collect()} == {("яма", 3), ("куст", 2), ("дом", 1)}
+    tf = terms.top_terms(docs(spark, "яма дом яма яма-куст куст", None, ""), "doc_id", "text", 9)
+    assert [(r.term, r.tf) for r in tf.collect()] == [("яма", 3), ("куст", 2), ("дом", 1)]
+    tf = terms.top_terms(docs(spark, "яма яма яма куст куст дом", None, ""), "doc_id", "text", 2)
     top = terms.key_terms(tf, 1).collect()
     assert [(r.term, r.rank) for r in top] == [("куст", 1)]  # of the two most frequent the first by name
     weights = spark.createDataFrame([("яма", 2.0)], "term string, weight double")
@@ -67,7 +69,7 @@ def test_evolution(spark):
     v = spark.createDataFrame([(1, 0.1), (2, 0.2), (4, 0.21)], "volume_id int, x double")
     assert [r.volume_id for r in evolution.turning_points(v, "x").collect()] == [2]
     y = spark.createDataFrame([(1905,), (1880,)], "year int")
-    assert {r.period for r in evolution.in_periods(y, "year").collect()} == {"ранний", "средний"}
+    assert {r.period for r in evolution.in_periods(y, "year").collect()} == {"Ранний период", "Революционный период"}
 
 
 def test_sections_and_windows(spark):
@@ -79,7 +81,7 @@ def test_sections_and_windows(spark):
 
 def test_notes(spark):
     text = chunking.restore_notes(docs(spark, "Из Гегеля: Гегель\n\n\nКОРОТКАЯ ТЕМА\nодна\nдва\nNB важно"), "doc_id", "text", ["Гегель"], ["NB"]).first().text
-    assert text == "\n\n[SOURCE: Гегель]\n\n\n\n\n[TOPIC: КОРОТКАЯ ТЕМА]\n\nодна два \n[REMARK]: NB важно\n"
+    assert text == "\n\n[ИСТОЧНИК: Гегель]\n\n\n\n\n[ТЕМА: КОРОТКАЯ ТЕМА]\n\nодна два \n[КОММЕНТАРИЙ]: NB важно\n"
 
 
 @settings(max_examples=60, deadline=None)
@@ -97,7 +99,7 @@ def test_neighbours_and_pairs(spark):
     unit = retrieval.unit_rows(rows.select("id", F.col("v").cast("array<float>").alias("v")), "id", "v", 2)
     near = retrieval.top_k(unit.where("id = 1"), unit, 2).orderBy("rank").collect()
     assert [r.other for r in near] == [6, 2]
-    assert {(r.a, r.b) for r in retrieval.pairs_above(unit, 0.9, block=2).collect()} == {(1, 2), (1, 6), (2, 6)}
+    assert {(r.a, r.b) for r in retrieval.related_within(unit.withColumn("group", F.lit("g")), 0.9, block=2).collect()} == {(1, 2), (1, 6), (2, 6)}
 
 
 def test_sweep(spark):
@@ -111,3 +113,72 @@ def test_sweep(spark):
 def test_json_profile(spark):
     rows = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": [1]}',), ("no json",), (None,)], "j string")
     assert {(r.key, r.kind) for r in profile.json_profile(rows, "j").collect()} == {("a", "integer"), ("a", "array"), ("b", "string")}
+
+
+def test_relation_factor_and_neighbours(spark):
+    t = spark.createDataFrame([(1, "a", 1900), (1, "b", 1900), (2, "b", 1910), (2, "a", 1910), (3, "a", 1900), (3, "c", 1900)], "id long, term string, year int")
+    rel = spark.createDataFrame([("a", "x", "y"), ("b", "x", "z"), ("q", "x", "y")], "concept string, source string, target string")
+    got = {(r.t1, r.t2): round(r.weight, 6) for r in network.cooccurrence(t, relations=rel).collect()}
+    assert got == {("a", "b"): round(2 * 1.1 * 1.2, 6), ("a", "c"): 1.0}
+    edges = spark.createDataFrame([("n", "a"), ("n", "b"), ("m", "c")], "t1 string, t2 string")
+    assert {r.term for r in network.neighbours(edges, spark.createDataFrame([("n",), ("c",)], "term string")).collect()} == {"a", "b", "m"}
+
+
+def test_key_terms_with_links(spark):
+    most = spark.createDataFrame([(1, "a", 5), (1, "b", 4), (1, "c", 3)], "id long, term string, tf long")
+    weights, linked = spark.createDataFrame([("a", 0.5), ("b", 0.9)], "term string, weight double"), spark.createDataFrame([("b",)], "term string")
+    assert [(r.term, round(r.score, 6)) for r in terms.key_terms(most, 2, weights, linked).orderBy("rank").collect()] == [("b", 1.17), ("c", 1.0)]
+
+
+def test_block_joins_against_brute_force(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(c) for c in v], "g" if i % 3 else "h") for i, v in enumerate(u)], "id long, v array<double>, group string")
+    cos = u @ u.T
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if cos[i, j] > 0.3 and (i % 3 == 0) == (j % 3 == 0)}
+    for block in (7, 1000):
+        assert {(r.a, r.b) for r in retrieval.related_within(rows, 0.3, block=block).collect()} == want
+        got = {(r.id, r["rank"]): r.other for r in retrieval.top_k(rows.where("id < 9"), rows, 3, block=block).collect()}
+        assert got == {(i, k + 1): [j for j in np.argsort(-cos[i]) if j != i][k] for i in range(9) for k in range(3)}
+
+
+def test_drift_over_ranges_equals_one_window(spark, monkeypatch):
+    rows = [(i, "s" if i % 4 else None, 1900 + i % 3, "Раз два три. " * (1 + i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, year int, text string")
+    prof = stylometry.profiles(df, "doc_id", "text", "source", "year")
+    lists = df.select(F.col("doc_id").alias("id"), F.array(F.concat(F.lit("t"), F.col("doc_id") % 7)).alias("terms"))
+    found = []
+    for size in (3, 100_000):
+        monkeypatch.setattr(stylometry, "RANGE", size)
+        found.append({tuple(r) for r in stylometry.style_drift(prof, lists, "source", ["year", "id"]).collect()})
+    assert found[0] == found[1] and len(found[0]) == 38
+
+
+def test_marks_names_and_stand_ins(spark):
+    from lexiflow.functions import text as T
+    from lexiflow.functions import vectors as V
+
+    t = F.lit("Уважаемый Петров! 3 мая 1901 г. Понятие «труд» и тезис 1 (см. главу). Вчера приехал Иван Сомов, а с ним Анна.")
+    r = spark.range(1).select(T.letter_markup(t).alias("letter"), T.semantic_clean(F.lit("Эмпирио критицизм, том II, Стр. 5 и Материализм")).alias("scan"), T.structure_marks(t).alias("marks"), T.entities(t).alias("names"), V.hashed_bag(F.split(F.lit("а б а"), " "), 8).alias("bag")).first()
+    assert "[ОБРАЩЕНИЕ: Уважаемый Петров!]" in r.letter and "[ДАТА: 3 мая 1901 г.]" in r.letter
+    assert r.scan == "эмпириокритицизм, ,  и материализм"
+    assert {m["kind"] for m in r.marks} == {"thesis", "concept", "reference"} and r.names == ["Иван Сомов", "Анна"]
+    assert sum(r.bag) == 3 and len(r.bag) == 8
+    df = spark.createDataFrame([("ok",), (None,), ("bad",)], "n string")
+    assert [r.c for r in df.limit(2).select(T.code_of(F.col("n"), {"OK": 5}).alias("c")).collect()] == [5, None]
+    with pytest.raises(Exception, match="unknown name"):
+        df.select(T.code_of(F.col("n"), {"OK": 5})).collect()
+
+
+def test_few_terms_have_no_components(spark):
+    assert all(r.components is None for r in terms.tfidf_svd(docs(spark, "яма куст", None), "doc_id", "text", 50).collect())
+    rows = terms.tfidf_svd(docs(spark, "яма яма куст", "дом куст стена", "стена яма", ""), "doc_id", "text", 2).collect()
+    assert len(rows) == 4 and all(len(r.components) == 2 for r in rows)
+
+
+def test_samples_repeat(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(90)], "id long, g string")
+    one, two = ({tuple(r) for r in occurrences.sample_per(rows, "g", "id", 5, seed=4).collect()} for _ in "ab")
+    assert one == two and len(one) == 10
