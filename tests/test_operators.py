@@ -164,7 +164,7 @@ def test_marks_names_and_stand_ins(spark):
     r = spark.range(1).select(T.letter_markup(t).alias("letter"), T.semantic_clean(F.lit("Эмпирио критицизм, том II, Стр. 5 и Материализм")).alias("scan"), T.structure_marks(t).alias("marks"), T.entities(t).alias("names"), V.hashed_bag(F.split(F.lit("а б а"), " "), 8).alias("bag")).first()
     assert "[ОБРАЩЕНИЕ: Уважаемый Петров!]" in r.letter and "[ДАТА: 3 мая 1901 г.]" in r.letter
     assert r.scan == "эмпириокритицизм, ,  и материализм"
-    assert {m["kind"] for m in r.marks} == {"thesis", "concept", "reference"} and r.names == ["Иван Сомов", "Анна"]
+    assert {m["kind"] for m in r.marks} == {"thesis", "concept", "reference"} and r.names == ["Петров", "Иван Сомов", "Анна"]
     assert sum(r.bag) == 3 and len(r.bag) == 8
     df = spark.createDataFrame([("ok",), (None,), ("bad",)], "n string")
     assert [r.c for r in df.limit(2).select(T.code_of(F.col("n"), {"OK": 5}).alias("c")).collect()] == [5, None]
