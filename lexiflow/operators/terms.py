@@ -21,9 +21,9 @@ def counted_terms(text: Column, **how) -> Column:
 
     def runs(s: Column) -> Column:
         starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull())
-        return F.transform(starts, lambda b, j: F.struct((b - F.coalesce(F.get(starts, j + 1), F.size(s))).cast("long").alias("less"), F.get(s, b).alias("term")))
+        return F.flatten(F.transform(F.array(starts), lambda at: F.transform(at, lambda b, j: F.struct((b - F.coalesce(F.get(at, j + 1), F.size(s))).cast("long").alias("less"), F.get(s, b).alias("term")))))
 
-    # One lambda argument each for the sorted tokens and the places where runs start, so neither is computed again.
+    # One lambda argument each for the sorted tokens and for the places where runs start, so neither is computed again.
     return F.array_sort(F.flatten(F.transform(F.array(toks), runs)))
 
 
