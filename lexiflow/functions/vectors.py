@@ -24,9 +24,19 @@ def align_width(a: Column, width: int) -> Column:
 
 
 def hashed_bag(words: Column, width: int = 64) -> Column:
-    """array<float> of a text's words, each counted at the place its hash gives: a deterministic stand-in for an embedder."""
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+    """array<float> of a text's words, each counted at the place its hash gives: a deterministic stand-in for an embedder.
+
+    The places are sorted, one of each put in, and counted by their runs, so the words are read once whatever the width.
+    """
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+    places = F.sort_array(F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int")), every))
+
+    def counts(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda p, i: F.when((i == 0) | (F.get(s, i - 1) != p), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(F.array(starts), lambda at: F.transform(every, lambda i: (F.coalesce(F.get(at, i + 1), F.size(s)) - F.get(at, i) - 1).cast("float"))))
+
+    # One lambda argument each for the sorted places and for where their runs start, so neither is computed again.
+    return F.flatten(F.transform(F.array(places), counts))
 
 
 def is_vector(a: Column) -> Column:

@@ -172,6 +172,21 @@ def test_marks_names_and_stand_ins(spark):
         df.select(T.code_of(F.col("n"), {"OK": 5})).collect()
 
 
+def test_bag_reads_its_words_once(spark):
+    from lexiflow.functions import text as T
+    from lexiflow.functions import vectors as V
+
+    # Words that are other ones whenever they are read again: only one reading gives as many counts as words.
+    drawn = F.array(*[F.rand(i).cast("string") for i in range(50)])
+    assert {sum(r.bag) for r in spark.range(40).select(V.hashed_bag(drawn).alias("bag")).collect()} == {50.0}
+    known = spark.createDataFrame([(["а", "б", "а", None],), ([],)], "words array<string>")
+    place = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w).cast("string")), F.lit(4))).first()[0] for w in ("а", "б", None)}
+    want = [[float(sum(place[w] == i for w in words)) for i in range(4)] for words in (["а", "б", "а", None], [])]
+    assert [r.bag for r in known.select(V.hashed_bag(F.col("words"), 4).alias("bag")).collect()] == want
+    marks = spark.range(1).select(T.alphabet_clean(F.lit("Ёж, 𝒳 и\u2028 ёлка\n№ 5 — А-Я\x00 i\u00a0ї")).alias("c")).first().c
+    assert marks == "ёж и ёлка а-я"
+
+
 def test_few_terms_have_no_components(spark):
     assert all(r.components is None for r in terms.tfidf_svd(docs(spark, "яма куст", None), "doc_id", "text", 50).collect())
     rows = terms.tfidf_svd(docs(spark, "яма яма куст", "дом куст стена", "стена яма", ""), "doc_id", "text", 2).collect()
