@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.session import ensure_checkpoint_dir, spread  # noqa: F401  (re-exported)
+from lexiflow.session import checkpointed, spread  # noqa: F401  (re-exported)
 
 #: Words are unbroken runs of letters and digits, in lower case, with the letter yo read as ye.
 WORD = re.compile(r"[^\W_]+")
@@ -40,23 +38,3 @@ def bounded_sample(df: DataFrame, n: int, total: int, *columns: str) -> list:
     parts = max(1, total // (3 * n))
     kept = df.where(F.pmod(F.xxhash64(*columns), F.lit(parts)) == 0)
     return kept.orderBy(F.xxhash64(F.lit(1), *columns), *columns).limit(n).collect()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows once, as a compressed table in the shared folder, and read them back.
-
-    The table outlives lost executors. It is deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  (the session may be gone already)
-        pass

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
-from lexiflow.session import spread
+from lexiflow.session import checkpointed, spread
 
 LINK_FACTOR = 1.3
 
@@ -49,29 +53,54 @@ def key_terms(most: DataFrame, n: int, weights: DataFrame | None = None, linked:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "term"))).where(F.col("rank") <= n)
 
 
+def _term_counts(tokens, place: dict[str, int]) -> Iterator[np.ndarray]:
+    """Dense counts (texts by terms) of lists of tokens, some hundred texts at a time."""
+    size = len(place)
+    for start in range(0, len(tokens), 500):
+        some = tokens[start : start + 500]
+        at = [i * size + place[t] for i, ts in enumerate(some) for t in ts if t in place]
+        yield np.bincount(np.array(at, dtype=np.int64), minlength=len(some) * size).reshape(len(some), size).astype(float)
+
+
 def tfidf_svd(docs: DataFrame, id_col: str, text_col: str, k: int = 50, vocabulary: int = 2000) -> DataFrame:
     """(id, components): the ``k`` components of a truncated SVD of the TF-IDF matrix; null where there are fewer than ``k`` terms.
 
-    The vocabulary is bounded, and so is what the driver holds of the decomposition.
-    """
-    from pyspark.ml.feature import IDF, CountVectorizer
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    The vocabulary is the most frequent terms, equal counts by term. An axis points to where its largest weight is
+    positive; components beyond the rank of the matrix are 0. A null text has no terms, and so components of 0.
 
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(T.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens")))
-    counter = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary).fit(rows)
-    if len(counter.vocabulary) < k:
+    The tokens are written once. The products of the counts of any two terms, summed over all texts, are whole
+    numbers, the same in any order; from them the driver, which holds vocabulary times vocabulary of them, has the axes.
+    """
+    split = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = checkpointed(split.select("id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens")))
+    most = rows.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary)
+    place = {r["term"]: i for i, r in enumerate(most.collect())}
+    size = len(place)
+    if size < k:
         return rows.select("id", F.lit(None).cast("array<double>").alias("components"))
-    counted = counter.transform(rows)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted).select("id", "tfidf")
-    axes = RowMatrix(weighted.select("tfidf").rdd.map(lambda r: Vectors.fromML(r[0]))).computeSVD(k).V.toArray()
 
-    def project(batches):
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per part of the table a row for each term: its products with all terms; in the last row how many texts hold each."""
+        total = np.zeros((size + 1, size))
         for b in batches:
-            yield b.assign(components=[(axes[list(i)].T @ list(v)).tolist() if len(i) else [0.0] * k for i, v in zip(b["at"], b["values"])])[["id", "components"]]
-
-    from pyspark.ml.functions import vector_to_array
+            for x in _term_counts(b["tokens"].tolist(), place):
+                total[:size] += x.T @ x
+                total[size] += (x > 0).sum(axis=0)
+        yield pd.DataFrame({"at": range(size + 1), "row": list(total)})
+
+    def summed(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": [g["at"].iloc[0]], "row": [np.sum(g["row"].tolist(), axis=0)]})
+
+    kind = "at int, row array<double>"
+    whole = np.array([r["row"] for r in sorted(rows.select("tokens").mapInPandas(products, kind).groupBy("at").applyInPandas(summed, kind).collect(), key=lambda r: r["at"])])
+    idf = np.log((rows.count() + 1) / (whole[size] + 1))
+    values, vectors = np.linalg.eigh(idf[:, None] * whole[:size] * idf)
+    axes = vectors[:, ::-1][:, :k] * (values[::-1][:k] > values[-1] * size * np.finfo(float).eps)
+    axes *= np.where(axes[np.abs(axes).argmax(axis=0), range(k)] < 0, -1.0, 1.0)
+    weights = idf[:, None] * axes
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "components": [c for x in _term_counts(b["tokens"].tolist(), place) for c in x @ weights]})
 
-    dense = weighted.select("id", vector_to_array("tfidf").alias("x"))
-    sparse = dense.select("id", F.transform(F.filter(F.transform("x", lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull()), lambda i: i).alias("at"), F.filter("x", lambda v: v != 0).alias("values"))
-    return sparse.mapInPandas(project, f"id {rows.schema['id'].dataType.simpleString()}, components array<double>")
+    return rows.mapInPandas(project, f"id {rows.schema['id'].dataType.simpleString()}, components array<double>")

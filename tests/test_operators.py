@@ -193,6 +193,20 @@ def test_few_terms_have_no_components(spark):
     assert len(rows) == 4 and all(len(r.components) == 2 for r in rows)
 
 
+def test_components_are_those_of_the_whole_matrix(spark):
+    import numpy as np
+
+    texts = ["яма яма куст дом", "дом куст стена", "стена яма", "", "куст пень дом дом", None, "лес яма пень", "поле река лес"]
+    got = {r.id: r.components for r in terms.tfidf_svd(docs(spark, *texts).repartition(3), "doc_id", "text", 3, 6).withColumnRenamed("doc_id", "id").collect()}
+    # Of equally frequent terms the first by name: of лес, пень and стена, twice each, all, of поле and река none.
+    words = ["дом", "яма", "куст", "лес", "пень", "стена"]
+    counts = np.array([[(t or "").split().count(w) for w in words] for t in texts], dtype=float)
+    tfidf = counts * np.log((len(texts) + 1) / ((counts > 0).sum(axis=0) + 1))
+    axes = np.linalg.svd(tfidf)[2][:3].T
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(3)])
+    assert np.allclose([got[i] for i in sorted(got)], tfidf @ axes)
+
+
 def test_samples_repeat(spark):
     rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(90)], "id long, g string")
     one, two = ({tuple(r) for r in occurrences.sample_per(rows, "g", "id", 5, seed=4).collect()} for _ in "ab")
