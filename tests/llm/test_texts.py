@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -251,6 +252,20 @@ def test_language_model_reads_whole_texts(spark):
     assert {(r.pair_id[:3], r.defect) for r in p7.broken_pairs(pairs, labelled).collect()} == {("bad", "language")}
 
 
+def test_language_model_and_cutoffs_have_all_rows(spark):
+    texts = [(f"жук {'абвгдежзик'[i % 10]}{'лмнопрстуф'[i // 10 % 10]}{'хцчшщъыьэю'[i // 100 % 10]} {'абвгдежзик'[i // 1000]}", "ru") for i in range(3000)] + [(None, "ru"), ("x", None)]
+    counts = p7.trigram_counts(spark.createDataFrame(texts, "text string, lang string").repartition(7))
+    want = Counter(g for t, lang in texts if t and lang for g in p7.LanguageModel._grams(t))
+    assert counts == {"ru": want} and want["жук"] == 3000
+
+    q, good = "Завод в городе открыл новую линию.", "Перемены усиливают хозяйственную основу труда и помогают общему делу."
+    rows = [(f"good{i}", q, good, "finished", "ends", 0.0) for i in range(700)]
+    pairs = spark.createDataFrame(rows, "pair_id string, question string, answer string, mark string, last_word string, at_limit double").withColumn("pair_kind", F.lit("t"))
+    labelled = spark.createDataFrame([(good * 10, "ru"), ("The new machines of the town change the work of the people. " * 10, "en")], "text string, lang string")
+    planted = {r.defect: r.planted for r in p7.agreement(pairs.repartition(5), labelled).collect()}
+    assert planted == dict.fromkeys(p7.DEFECTS, 700)
+
+
 # p8 ------------------------------------------------------------------------------------------------
 
 
