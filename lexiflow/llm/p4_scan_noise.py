@@ -171,10 +171,11 @@ def header_lines(base: DataFrame, *, min_pages: int = MIN_PAGES, min_volumes: in
     shared = shared.where((F.col("pages") >= min_pages) & (F.col("volumes") >= min_volumes) & (F.col("edges") >= 2)).select("shape", F.lit(True).alias("shared"))
     own = per_volume.join(shared, "shape", "left").where((F.col("pages") >= min_pages) | F.col("shared")).select("volume", "shape")
     exact = found.join(own, ["volume", "shape"], "left_semi").select("key", "line").unionAll(found.join(shared.select("shape"), "shape", "left_semi").select("key", "line"))
-    # Fuzzy: equal at the beginning or the end, and one edit per ten letters.
-    ends = lambda df: df.withColumn("end", F.explode(F.array(F.concat(F.lit("<"), F.left("shape", F.lit(4))), F.concat(F.lit(">"), F.right("shape", F.lit(4))))))
-    near = ends(found.where(F.length("shape") >= 8)).join(ends(own).select("volume", "end", F.col("shape").alias("header")), ["volume", "end"])
-    near = near.where((F.levenshtein("shape", "header") <= F.greatest(F.lit(1), F.floor(F.length("header") / 10))) & (F.length("header") >= 8))
+    # Fuzzy: equal at the beginning or the end, and one edit per ten letters. A semi join, as in ``_misread``.
+    ends = lambda df: df.where(F.length("shape") >= 8).withColumn("end", F.explode(F.array(F.concat(F.lit("<"), F.left("shape", F.lit(4))), F.concat(F.lit(">"), F.right("shape", F.lit(4))))))
+    headers = ends(own).select(F.col("volume").alias("of"), F.col("end").alias("alike"), F.col("shape").alias("header"))
+    apart = F.levenshtein("shape", "header")
+    near = ends(found).join(headers, (F.col("volume") == F.col("of")) & (F.col("end") == F.col("alike")) & (apart <= F.greatest(F.lit(1), F.floor(F.length("header") / 10))), "left_semi")
     return exact.unionAll(near.select("key", "line")).groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
@@ -299,6 +300,15 @@ def misread_words(parsed: DataFrame, *, ratio: float = 6.0, known_from: int = 4)
     return pairs.groupBy("word").agg(F.max(F.struct("known", "meant")).alias("m")).select("word", F.col("m.meant").alias("meant"))
 
 
+def _misread(parsed: DataFrame, wrong: DataFrame, of: str) -> DataFrame:
+    """(``of``, word): the misread words of every text.
+
+    The exploded words are far larger than Spark takes them for, which knows the size of the file but not the
+    lengths of its arrays; the left side of a semi join is never broadcast, whatever its size is taken for.
+    """
+    return parsed.select(of, F.explode("tokens").alias("word")).join(wrong, "word", "left_semi").select(of, "word")
+
+
 def scan_noise(df: DataFrame, id_col: str, text_col: str, volume_col: str | None = None, **limits) -> DataFrame:
     """(id, noise): the kinds of noise of every text: hyphen, misread, header, pageno; distinct.
 
@@ -311,7 +321,7 @@ def scan_noise(df: DataFrame, id_col: str, text_col: str, volume_col: str | None
     parsed = _prepare(df, id_col, text_col, volume_col, limits)
     flags = parsed.select("id", F.explode(F.array_compact(F.array(F.when(F.col("header"), "header"), F.when(F.col("pageno"), "pageno"), F.when(F.col("mixed"), "misread")))).alias("noise"))
     hyphens = _breaks(parsed).where("not own").select("id", F.lit("hyphen").alias("noise"))
-    wrong = parsed.select("id", F.explode("tokens").alias("word")).join(misread_words(parsed), "word").select("id", F.lit("misread").alias("noise"))
+    wrong = _misread(parsed, misread_words(parsed), "id").select("id", F.lit("misread").alias("noise"))
     return flags.unionAll(hyphens).unionAll(wrong).distinct()
 
 
@@ -324,7 +334,8 @@ def repaired(df: DataFrame, id_col: str, text_col: str, volume_col: str | None =
     """
     parsed = _prepare(df, id_col, text_col, volume_col, limits, "text", "body")
     own = _breaks(parsed).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "own"))).alias("own"))
-    wrong = parsed.select("key", F.explode("tokens").alias("word")).join(misread_words(parsed), "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("meant"))
+    words = misread_words(parsed)
+    wrong = _misread(parsed, words, "key").join(words, "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("meant"))
     rows = parsed.join(own, "key", "left").join(wrong, "key", "left")
     rows = rows.select("id", "text", "header", "pageno", "mixed", "body", F.transform("own", lambda o: o["own"]).alias("own"), F.map_keys("meant").alias("bad"), F.map_values("meant").alias("good"))
 

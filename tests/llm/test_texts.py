@@ -153,6 +153,41 @@ def test_misread_at_a_word_end(spark):
     assert {r.id: r.repaired for r in p4.repaired(df, "id", "text").collect()}["end"] == "Крупный капитал растёт."
 
 
+def broadcast_rows(df):
+    """The rows of every table that was broadcast for a result, the largest first."""
+    df.collect()
+    rows, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            rows.append(node.metrics().apply("numOutputRows").value())
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return sorted(rows, reverse=True)
+
+
+def test_words_of_all_texts_are_never_broadcast(spark):
+    """What the driver holds follows the rare words and the headers found, not all words of all texts."""
+    rnd = random.Random(4)
+    known = sorted({"".join(rnd.choice("абвгдежзик") for _ in range(7)) for _ in range(40)})
+    rows = [(i, 0, " ".join(known)) for i in range(400)] + [(400, 0, "инструмент " * 3), *((i, 0, "инструмент") for i in range(401, 420)), (420, 0, "ииструмент")]
+    df = spark.createDataFrame(rows, "id long, volume long, text string")
+    found = p4.scan_noise(df, "id", "text", "volume")
+    assert broadcast_rows(found)[0] < 200 and {tuple(r) for r in found.collect()} == {(420, "misread")}
+    fixed = p4.repaired(df, "id", "text", "volume")
+    assert broadcast_rows(fixed)[0] < 200 and [r.repaired for r in fixed.where("changed").collect()] == ["инструмент"]
+
+    pages = [(str(i), 0, f"Первая строка {i} текста\nтекст идёт\nСборник Работ Автора\nи идёт дальше {i}.") for i in range(300)]
+    pages += [("last", 0, "Первая строка\nтекст идёт\nСборник Рабт Автора\nи идёт дальше.")]
+    headers = p4.header_lines(spark.createDataFrame(pages, "key string, volume long, text string"))
+    assert broadcast_rows(headers)[0] < 200 and {(r.key, *r.lines) for r in headers.collect()} == {(k, 2) for k, _, _ in pages}
+
+
 # p5 ------------------------------------------------------------------------------------------------
 
 
